@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from silkgraph.llm import decontaminate, preference
+from silkgraph.llm import decontaminate, language_id, license_scan, preference, quality_rules
 
 QUERIES = {
     "op2_chat_formatting": preference.op2_chat_formatting,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op6_language_id": language_id.op6_language_id,
+    "op8_license_scan": license_scan.op8_license_scan,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
+#: Queries that SQL can't express (suffix arrays, filters, index votes) are tested against brute force instead.
 ORACLES = {
     "op2_chat_formatting": preference.ORACLE,
     "op3_benchmark_decontamination": decontaminate.ORACLE,
