@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from silkgraph.llm import decontaminate, language_id, license_scan, preference, quality_rules
+from silkgraph.llm import decontaminate, language_id, license_scan, packing, preference, quality_rules, substring, warc
 
 QUERIES = {
     "op2_chat_formatting": preference.op2_chat_formatting,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op4_warc": warc.op4_warc,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_language_id": language_id.op6_language_id,
+    "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
@@ -16,4 +19,6 @@ QUERIES = {
 ORACLES = {
     "op2_chat_formatting": preference.ORACLE,
     "op3_benchmark_decontamination": decontaminate.ORACLE,
+    "op4_warc": warc.ORACLE,
+    "op7_substring_dedup": substring.ORACLE,
 }
