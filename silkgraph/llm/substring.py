@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from silkgraph.llm.common import materialize, table
 
@@ -286,21 +286,18 @@ def dedup(docs: DataFrame) -> DataFrame:
     joined by one space, and rows of which nothing is left go.
     """
 
-    rows = with_spans(docs)
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__rest")
-    kind = rows.select(rest).schema["__rest"].dataType
+    schema = docs.schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [b" ".join(cut(text, spans)[1]).decode() for text, spans in zip(pdf["text"], pdf["__spans"], strict=True)]
-            yield pd.DataFrame({"__rest": pdf["__rest"], "text": texts})
-
-    # only rows that lose words go through Python
-    whole = rows.where("__spans is null").select(*[F.col(f"`{c}`") for c in docs.columns])
-    schema = T.StructType([T.StructField("__rest", kind), T.StructField("text", T.StringType())])
-    changed = rows.where("__spans is not null").select(rest, "text", "__spans").mapInPandas(run, schema)
-    back = [F.col("text") if c == "text" else F.col("__rest").getField(c).alias(c) for c in docs.columns]
-    return whole.unionByName(changed.where("text != ''").select(*back))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.schema.field("text").type
+            texts, spans = batch["text"].to_pylist(), batch["__spans"].to_pylist()
+            cuts = [b" ".join(cut(t, s)[1]).decode() if s else t for t, s in zip(texts, spans, strict=True)]
+            keep = pa.array([not s or t != "" for t, s in zip(cuts, spans, strict=True)], pa.bool_())
+            cols = [pa.array(cuts, kind) if name == "text" else batch[name] for name in schema.names]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names).filter(keep)
+
+    return with_spans(docs).mapInArrow(run, schema)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
