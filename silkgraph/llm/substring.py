@@ -66,7 +66,7 @@ class Hasher:
         if len(self.known) > CACHE:
             self.known.clear()
         known = self.known
-        for w in set(words) - known.keys():
+        for w in [w for w in set(words) if w not in known]:
             i = known[w] = len(known)
             if i >= self.values.shape[1]:
                 self.values = np.concatenate([self.values, np.zeros_like(self.values)], axis=1)
