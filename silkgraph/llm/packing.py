@@ -66,7 +66,7 @@ class WordIds:
     def block(self, held: list[list[bytes]]) -> Iterator[bytes]:
         if len(self.known) > CACHE:
             self.known.clear()
-        fresh = list(set().union(*held) - self.known.keys())
+        fresh = [w for w in set().union(*held) if w not in self.known]
         for word, e in zip(fresh, self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
             self.known[word] = np.array(e.ids, "<u4").tobytes()
         for words in held:
