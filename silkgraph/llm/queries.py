@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from silkgraph.llm import decontaminate, language_id, license_scan, packing, preference, quality_rules, substring, warc
+from silkgraph.llm import decontaminate, jaccard_join, language_id, license_scan, packing, preference, quality_rules, substring, warc
 
 QUERIES = {
     "op2_chat_formatting": preference.op2_chat_formatting,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
 }
 
 #: Queries that SQL can't express (suffix arrays, filters, index votes) are tested against brute force instead.
@@ -21,4 +22,5 @@ ORACLES = {
     "op3_benchmark_decontamination": decontaminate.ORACLE,
     "op4_warc": warc.ORACLE,
     "op7_substring_dedup": substring.ORACLE,
+    "op10_ngram_jaccard_join": jaccard_join.ORACLE,
 }
