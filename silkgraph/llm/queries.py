@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from silkgraph.llm import decontaminate, jaccard_join, language_id, license_scan, packing, preference, quality_rules, substring, warc
+from silkgraph.llm import decontaminate, jaccard_join, language_id, license_scan, packing, preference, quality_classifier, quality_rules, substring, warc
 
 QUERIES = {
+    "op1_quality_classifier": quality_classifier.op1_quality_classifier,
     "op2_chat_formatting": preference.op2_chat_formatting,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_warc": warc.op4_warc,
