@@ -25,6 +25,7 @@ def star_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     a null end are ignored.
     """
     ids = edges.where(F.col(u).isNotNull() & F.col(v).isNotNull()).select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v"))
+    ids = materialize(ids, "links")  # read twice, and dear to make again
     alone = ids.where("u = v").select(F.col("u").alias("id"))
     e = materialize(ids.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _print(e)
@@ -44,3 +45,79 @@ def star_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
     found = e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")))
     return found.unionByName(alone.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+
+
+def weak_components(edges: DataFrame) -> DataFrame:
+    """``id, component`` ignoring directions; loops alone count as vertices."""
+    return star_components(edges)
+
+
+def component_sizes(edges: DataFrame) -> DataFrame:
+    """``component, n_vertices, n_edges, sum_w`` of each weak component."""
+    labels = materialize(weak_components(edges), "labels")
+    v = labels.groupBy("component").agg(F.count("*").alias("n_vertices"))
+    e = edges.join(labels, F.col("u") == F.col("id")).groupBy("component").agg(F.count("*").alias("n_edges"), F.sum("w").alias("sum_w"))
+    return v.join(e, "component", "left").select("component", "n_vertices", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("sum_w", F.lit(0)).alias("sum_w"))
+
+
+def _spread_max(e: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, color``: the largest id that reaches each vertex within ``e``."""
+    color = materialize(ids.select("id", F.col("id").alias("color")), "color")
+    while True:
+        sent = color.join(e, color.id == e.u).groupBy(e.v.alias("id")).agg(F.max("color").alias("got"))
+        new = materialize(color.join(sent, "id", "left").select("id", F.greatest("color", F.coalesce("got", "color")).alias("color"), (F.coalesce("got", "color") > F.col("color")).alias("moved")), "color")
+        if new.where("moved").isEmpty():
+            return new.select("id", "color")
+        color = new.select("id", "color")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``id, scc``: the smallest id of each vertex's strongly connected component.
+
+    Colouring: every vertex takes the largest id that reaches it; what reaches
+    a colour's root backwards within the colour is the root's component.
+    Vertices without incoming or outgoing edges are components of their own
+    and are taken off first, each round.
+    """
+    all_ids = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
+    e = materialize(edges.where("u <> v").select("u", "v").distinct(), "scc")
+    found: DataFrame | None = None
+    while True:
+        n = e.count()
+        while True:
+            e = materialize(e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v"), "scc")
+            m = e.count()
+            if m == n:
+                break
+            n = m
+        if not n:
+            break
+        color = materialize(_spread_max(e, e.select(F.col("u").alias("id")).distinct()), "colors")
+        cu, cv = color.select(F.col("id").alias("u"), F.col("color").alias("cu")), color.select(F.col("id").alias("v"), F.col("color").alias("cv"))
+        inside = materialize(e.join(cu, "u").join(cv, "v").where("cu = cv").select("u", "v", "cu"), "inside")
+        reached = materialize(color.where("id = color"), "reached")
+        front = reached
+        while True:
+            step = inside.join(front.select(F.col("id").alias("v")), "v").select(F.col("u").alias("id"), F.col("cu").alias("color")).distinct()
+            front = materialize(step.join(reached, "id", "left_anti"), "front")
+            if front.isEmpty():
+                break
+            reached = materialize(reached.unionByName(front), "reached")
+        label = reached.groupBy("color").agg(F.min("id").alias("scc"))
+        done = materialize(reached.join(label, "color").select("id", "scc"), "done")
+        found = done if found is None else found.unionByName(done)
+        e = materialize(e.join(done.select(F.col("id").alias("u")), "u", "left_anti").join(done.select(F.col("id").alias("v")), "v", "left_anti").select("u", "v"), "scc")
+    if found is None:
+        return all_ids.select("id", F.col("id").alias("scc"))
+    return all_ids.join(found, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
+
+
+def condensed_degrees(edges: DataFrame) -> DataFrame:
+    """``scc, size, in_deg, out_deg``: components and the distinct edges between them."""
+    labels = materialize(strong_components(edges), "scc-labels")
+    between = edges.select("u", "v").join(labels.select(F.col("id").alias("u"), F.col("scc").alias("a")), "u").join(labels.select(F.col("id").alias("v"), F.col("scc").alias("b")), "v")
+    links = materialize(between.where("a <> b").select("a", "b").distinct(), "condensed")
+    size = labels.groupBy("scc").agg(F.count("*").alias("size"))
+    i, o = links.groupBy(F.col("b").alias("scc")).agg(F.count("*").alias("in_deg")), links.groupBy(F.col("a").alias("scc")).agg(F.count("*").alias("out_deg"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return size.join(i, "scc", "left").join(o, "scc", "left").select("scc", "size", zero("in_deg"), zero("out_deg"))
