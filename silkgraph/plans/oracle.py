@@ -58,10 +58,10 @@ MEANS = "m as (select d, cast(trunc(sum(case when y = 0 then x end)) as bigint)
 CENTROID = f"with {quantised(2)}, {MEANS}, s as (select q.id, cast(sum((2 * x - (m0 + m1)) * (m0 - m1)) as bigint) score from q join m on m.d = q.d group by q.id)"
 
 _SP = """hop as (select s, s v, 0 k, cast(0 as bigint) d from n union all select h.s, e.v, h.k + 1, min(h.d + e.w) from hop h join e on h.v = e.u where h.k < 16 group by h.s, e.v, h.k),
-d as (select s, v, min(d) d from hop group by 1, 2),
-dag as (select a.s, e.u, e.v, count(*) m from d a join e on a.v = e.u join d b on b.s = a.s and b.v = e.v and b.d = a.d + e.w group by 1, 2, 3),
+d as materialized (select s, v, min(d) d from hop group by 1, 2),
+dag as materialized (select a.s, e.u, e.v, count(*) m from d a join e on a.v = e.u join d b on b.s = a.s and b.v = e.v and b.d = a.d + e.w group by 1, 2, 3),
 sg as (select s, s v, cast(1 as double) c from n union all select f.s, g.v, sum(f.c * g.m) from sg f join dag g on g.s = f.s and g.u = f.v group by 1, 2),
-sig as (select s, v, sum(c) c from sg group by 1, 2)"""
+sig as materialized (select s, v, sum(c) c from sg group by 1, 2)"""
 BETWEENNESS = f"""with recursive e as ({MULTI} and l_suppkey <> l_partkey), n as (select u s from e union select v from e), {_SP},
 mm as (select g.s, g.u, g.v, g.m * a.c / b.c x from dag g join sig a on a.s = g.s and a.v = g.u join sig b on b.s = g.s and b.v = g.v),
 dl as (select s, u v, sum(x) c from mm group by 1, 2 union all select f.s, mm.u, sum(f.c * mm.x) from dl f join mm on mm.s = f.s and mm.v = f.v group by 1, 2)
