@@ -16,7 +16,6 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = f"file://{tempfile.gettempdir()}/silkgraph-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
