@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from silkgraph.sources.shared import materialize, shared_dir
+
+__all__ = ["ascii_lower", "broadcast_if_small", "materialize", "norm_words", "shared_dir", "small_enough", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Words of lower-cased text: runs of digits, a-z and everything beyond ASCII.
@@ -31,30 +32,6 @@ def norm_words(col: Column) -> Column:
     return F.coalesce(words, F.array().cast("array<string>"))
 
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that driver and executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset (local tests) a temporary folder of this machine takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/silkgraph-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    Cuts the lineage in a way that survives lost executors.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_enough(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has at most ``rows`` rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows
