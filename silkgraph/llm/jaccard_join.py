@@ -9,9 +9,10 @@
    of groups by size and by a parity sketch, whose Hamming distance never
    exceeds the symmetric difference. Pairs aren't written: groups that have a
    partner left join the cell of the first of them.
-4. Cells are expanded to the texts of their members and verified with exact
-   sets; a cell returns a forest of its links. Cells over a bound are verified
-   block against block.
+4. Cells are expanded to their members, which sketches as wide as their sets
+   filter again; the texts of those that are left are verified with exact
+   sets, and a cell returns a forest of its links. Cells over a bound are
+   verified block against block.
 5. Connected components of the forests.
 """
 
@@ -111,14 +112,19 @@ def in_order(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return s[np.argsort(key, kind="stable")]
 
 
-def sketch(s: np.ndarray) -> list[int]:
-    """Parity of the shingles at each of ``64 * SKETCH`` places."""
-    at = (mix(s ^ M1) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH)
-    odd = np.bincount(at, minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+def sketch(s: np.ndarray, bits: int) -> np.ndarray:
+    """Parity of the shingles at each of ``bits`` places, in words of 64 bits."""
+    at = ((mix(s ^ M1) >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(at, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-SET_COLS = "doc_id long, n int, lead long, s1 long, s2 long, p1 long, p2 long, prefix array<long>, " + ", ".join(f"k{i} long" for i in range(SKETCH))
+def wide_bits(n: int) -> int:
+    """Places of the second sketch of a set of ``n``: the next power of two, but a least."""
+    return max(64 * SKETCH, 1 << (n - 1).bit_length())
+
+
+SET_COLS = "doc_id long, n int, lead long, s1 long, s2 long, p1 long, p2 long, prefix array<long>, wide binary, " + ", ".join(f"k{i} long" for i in range(SKETCH))
 
 
 def sets(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
@@ -146,58 +152,87 @@ def sets(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) -> Dat
                 prefix = in_order(s, levels)[: n - (num * n + den - 1) // den + 1]
                 step = np.arange(1, len(prefix) + 1, dtype=np.uint64)
                 p1, p2 = (mix(prefix + step * c).sum().view(np.int64) for c in (M1, M3))
-                rows.append((doc_id, n, None, *same, int(p1), int(p2), prefix.view(np.int64), *sketch(s)))
+                rows.append((doc_id, n, None, *same, int(p1), int(p2), prefix.view(np.int64), sketch(s, wide_bits(n)).tobytes(), *sketch(s, 64 * SKETCH).tolist()))
             out = pd.DataFrame(rows, columns=names)
-            yield out.astype({c: "Int64" for c in names if c != "prefix"})
+            yield out.astype({c: "Int64" for c in names if c not in ("prefix", "wide")})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, SET_COLS)
 
 
+def whole_runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Frames sorted by ``key``, cut anew so that none ends within a run of equal keys."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        k = pdf[key].to_numpy()
+        if held and held[-1][key].iloc[-1] == k[0] == k[-1]:
+            held.append(pdf)
+            continue
+        cut = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
+        if held or cut:
+            yield pd.concat([*held, pdf[:cut]], ignore_index=True)
+        held = [pdf[cut:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def partnered(key: np.ndarray, n: np.ndarray, k: np.ndarray, judge: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Rows (sorted by ``key, n``) with another of their key that sizes and sketches ``k`` allow to link.
+
+    ``judge`` 0 marks a row whose sketch says nothing; pairs of two rows with
+    2 are left out.
+    """
+    out, rows, gap = np.zeros(len(key), bool), np.arange(max(0, len(key) - 1)), 1
+    while len(rows):
+        rows = rows[rows + gap < len(key)]
+        near = (key[rows] == key[rows + gap]) & (den * n[rows] >= num * n[rows + gap])
+        rows = rows[near]  # a larger gap only makes both worse
+        other = rows + gap
+        apart = np.bitwise_count(k[rows] ^ k[other]).sum(1).astype(np.int64)
+        # |x ^ y| = |x| + |y| - 2 |x & y|, and a link needs (num + den) |x & y| >= num (|x| + |y|)
+        fits = (num + den) * apart <= (den - num) * (n[rows] + n[other])
+        both = judge[rows] * judge[other]
+        fits = (fits | (both == 0)) & (both != 4)
+        out[rows[fits]] = True
+        out[other[fits]] = True
+        gap += 1
+    return out
+
+
 def cells_of(num: int, den: int):
     """Reader of postings sorted by ``token, n``: ``cell, gid`` of groups with a partner that passes the filters."""
 
-    def alive(token: np.ndarray, n: np.ndarray, k: np.ndarray, exact: np.ndarray) -> np.ndarray:
-        out, total = np.zeros(len(token), bool), len(token)
-        rows = np.arange(total - 1)
-        gap = 1
-        while len(rows):
-            rows = rows[rows + gap < total]
-            other = rows + gap
-            near = (token[rows] == token[other]) & (den * n[rows] >= num * n[other])
-            rows, other = rows[near], other[near]  # a larger gap only widens both differences
-            apart = np.bitwise_count(k[rows] ^ k[other]).sum(1).astype(np.int64)
-            both = n[rows] + n[other]
-            # |x ^ y| = |x| + |y| - 2 |x & y|, and a link needs (num + den) |x & y| >= num (|x| + |y|)
-            fits = ((num + den) * apart <= (den - num) * both) | ~(exact[rows] & exact[other])
-            out[rows[fits]] = True
-            out[other[fits]] = True
-            gap += 1
-        return out
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-
-        def flush(pdf: pd.DataFrame) -> pd.DataFrame:
-            token, n = pdf["token"].to_numpy(), pdf["n"].to_numpy().astype(np.int64)
+        for pdf in whole_runs(batches, "token"):
             k = pdf[[f"k{i}" for i in range(SKETCH)]].to_numpy().view(np.uint64)
-            pdf = pdf[alive(token, n, k, pdf["exact"].to_numpy())]
-            gid, token = pdf["gid"].to_numpy(), pdf["token"].to_numpy()
-            if not len(gid):
-                return pd.DataFrame({"cell": gid, "gid": gid})
-            start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            low = np.minimum.reduceat(gid, start)
-            cell = np.repeat(low, np.diff(np.concatenate([start, [len(gid)]])))
-            return pd.DataFrame({"cell": cell, "gid": gid}).drop_duplicates()
+            some = partnered(pdf["token"].to_numpy(), pdf["n"].to_numpy().astype(np.int64), k, pdf["exact"].to_numpy().astype(np.int64), num, den)
+            gid, token = pdf["gid"].to_numpy()[some], pdf["token"].to_numpy()[some]
+            if len(gid):
+                start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+                low = np.minimum.reduceat(gid, start)
+                cell = np.repeat(low, np.diff(np.concatenate([start, [len(gid)]])))
+                yield pd.DataFrame({"cell": cell, "gid": gid}).drop_duplicates()
 
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = pdf["token"].to_numpy()
-            cut = int(np.flatnonzero(last != last[-1])[-1]) + 1 if len(last) and last[0] != last[-1] else 0
-            if cut:
-                yield flush(pdf[:cut])
-            held = pdf[cut:]
-        if held is not None and len(held):
-            yield flush(held)
+    return run
+
+
+def narrowed(num: int, den: int):
+    """Reader of members sorted by ``cell, n``: those with a partner by their wide sketches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_runs(batches, "cell"):
+            some = np.zeros(len(pdf), bool)
+            words = pdf["wide"].map(len).to_numpy() // 8
+            for w in np.unique(words):
+                # partners' widths differ by a factor of two at most; parities of the wider fold onto the narrower
+                at = np.flatnonzero((words == w) | (words == 2 * w))
+                k = np.zeros((len(at), w), np.uint64)
+                for i, x in enumerate(pdf["wide"].iloc[at]):
+                    k[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, w), axis=0)
+                own = np.where(words[at] == w, 1, 2)
+                some[at] |= partnered(pdf["cell"].to_numpy()[at], pdf["n"].to_numpy().astype(np.int64)[at], k, own, num, den)
+            yield pdf.loc[some, ["cell", "doc_id", "n"]]
 
     return run
 
@@ -207,7 +242,6 @@ def verify(k: int, num: int, den: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shingler = Shingler(k)
-        by_doc: dict[int, tuple] = {}
         rows = sorted(zip(pdf["doc_id"], pdf["block"], texts_of(pdf), strict=True), key=lambda x: x[:2])
         bag = [(int(d), int(b), shingler.of(t)) for d, b, t in rows]
         cross = len({b for _, b, _ in bag}) > 1
@@ -248,7 +282,6 @@ def verify(k: int, num: int, den: int):
                         mine = root(i)
                 bucket.append(i)
             mark[s] = False
-        del by_doc
         low: dict[int, int] = {}
         for i, (doc, _, _) in enumerate(bag):
             r = root(i)
@@ -282,7 +315,9 @@ def links(docs: DataFrame, k: int, num: int, den: int, found: DataFrame) -> Data
     # expand groups to their members: those of one set are the group's id itself
     single = cells.join(wide.select("gid").distinct(), "gid", "left_anti").select("cell", F.col("gid").alias("doc_id"))
     several = cells.join(wide, "gid").select("cell", F.col("rep").alias("doc_id"))
-    members = single.unionByName(several).join(slim.select("doc_id", "n").distinct(), "doc_id")
+    wides = whole.groupBy("doc_id", "n").agg(F.first("wide").alias("wide"))
+    members = single.unionByName(several).join(wides, "doc_id").select("cell", "doc_id", "n", "wide")
+    members = materialize(members.repartition("cell").sortWithinPartitions("cell", "n").mapInPandas(narrowed(num, den), "cell long, doc_id long, n int"), "members")
     sizes = members.groupBy("cell").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("n_docs")).where("n_docs > 1")
     dealt = members.select("cell", "doc_id").join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "doc_id", "block", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"))
