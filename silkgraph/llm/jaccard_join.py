@@ -10,9 +10,9 @@
    exceeds the symmetric difference. Pairs aren't written: groups that have a
    partner left join the cell of the first of them.
 4. Cells are expanded to their members, which sketches as wide as their sets
-   filter again; the texts of those that are left are verified with exact
-   sets, and a cell returns a forest of its links. Cells over a bound are
-   verified block against block.
+   filter again; cells that still share members unite. The texts of those that
+   are left are verified with exact sets, and a cell returns a forest of its
+   links. Cells over a bound are verified block against block.
 5. Connected components of the forests.
 """
 
@@ -318,10 +318,13 @@ def links(docs: DataFrame, k: int, num: int, den: int, found: DataFrame) -> Data
     wides = whole.groupBy("doc_id", "n").agg(F.first("wide").alias("wide"))
     members = single.unionByName(several).join(wides, "doc_id").select("cell", "doc_id", "n", "wide")
     members = materialize(members.repartition("cell").sortWithinPartitions("cell", "n").mapInPandas(narrowed(num, den), "cell long, doc_id long, n int"), "members")
+    # cells that share a member are one: every text then travels once
+    whole_cells = star_components(members, "cell", "doc_id").select(F.col("id").alias("doc_id"), F.col("component").alias("cell"))
+    members = members.select("doc_id", "n").distinct().join(whole_cells, "doc_id")
     sizes = members.groupBy("cell").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("n_docs")).where("n_docs > 1")
     dealt = members.select("cell", "doc_id").join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "doc_id", "block", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"))
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(paired, "doc_id")
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(paired.hint("merge"), "doc_id")
     edges = texts.groupBy("cell", "a", "b").applyInPandas(verify(k, num, den), "u long, v long")
     return edges.unionByName(copies).unionByName(in_batch)
 
