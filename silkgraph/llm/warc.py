@@ -115,21 +115,22 @@ def parse(data: bytes) -> dict:
     }
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
-    """``page_id, url, payload, digest, refers_to, refers_url``.
+def revisits(pages: DataFrame) -> DataFrame:
+    """``page_id, digest, refers_to, refers_url`` of the records that another one stands for.
 
     Of equal payloads of ``MIN_REVISIT`` bytes or more the record with the
     largest id is the response; repeated rows of that id are responses too, and
-    so are rows without id, which nothing refers to.
+    so are rows without id, which nothing refers to. Payloads don't travel.
     """
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    large = rows.where((F.octet_length("payload") >= MIN_REVISIT) & F.col("page_id").isNotNull())
-    top = F.max(F.struct("page_id", "url"))
-    first = large.groupBy(F.col("digest").alias("__digest")).agg(top.alias("__top"), F.count("*").alias("__n")).where("__n > 1").select("__digest", "__top")
-    revisits = large.select("page_id", "digest").join(first, F.col("digest") == F.col("__digest")).where("page_id < __top.page_id")
-    links = revisits.select(F.col("page_id").alias("__id"), F.col("digest").alias("__of"), F.col("__top.page_id").alias("refers_to"), F.col("__top.url").alias("refers_url")).distinct()
-    return rows.join(links, (F.col("page_id") == F.col("__id")) & (F.col("digest") == F.col("__of")), "left").drop("__id", "__of")
+    rows = pages.where("page_id is not null").select("page_id", "url", payload_of("html").alias("payload")).where(F.octet_length("payload") >= MIN_REVISIT)
+    large = rows.select("page_id", "url", F.sha1("payload").alias("digest"))
+    first = large.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "top")
+    found = large.select("page_id", "digest").join(first, "digest").where("page_id < top.page_id")
+    return found.select("page_id", "digest", F.col("top.page_id").alias("refers_to"), F.col("top.url").alias("refers_url")).distinct()
+
+
+def payload_of(html: str):
+    return F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
 
 
 def layout(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[int, int, list[int]]:
@@ -163,8 +164,12 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll
     low, width, shards = layout(pages, shard_bytes)
     cell = F.floor((F.col("page_id") - low) / width).cast("int")
     shard = F.coalesce(F.get(F.lit(shards), cell), F.lit(0))
-    rows = with_revisits(pages).withColumn("shard", shard)
-    placed = rows.repartitionByRange(shards[-1] + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "digest", "url")
+    payload = payload_of("html")
+    records = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("refers_to"), F.lit(1).alias("kind"))
+    # a revisit's link comes right before the record it is for: payloads are shuffled once
+    links = revisits(pages).select("page_id", F.col("refers_url").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to", F.lit(0).alias("kind"))
+    rows = records.unionByName(links).withColumn("shard", shard)
+    placed = rows.repartitionByRange(shards[-1] + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "kind", "digest", "url")
     target = path.rstrip("/")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,16 +190,23 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll
             tmp = f"_tmp-{uuid.uuid4().hex}-{name}"
             state.update(shard=shard, seq=seq, name=name, tmp=tmp, file=store.open_output_stream(f"{root}/{tmp}", compression=None), records=0, bytes=0, sha1=hashlib.sha1())
 
+        number = lambda x: None if x is pd.NA else int(x)
+        linked: tuple = (None, {})
         for pdf in batches:
-            refers = pdf["refers_to"].astype("Int64")
-            for page_id, url, payload, digest, ref, ref_url, shard_no in zip(pdf["page_id"].astype("Int64"), pdf["url"], pdf["payload"], pdf["digest"], refers, pdf["refers_url"], pdf["shard"], strict=True):
+            cols = (pdf["page_id"].astype("Int64"), pdf["url"], pdf["payload"], pdf["digest"], pdf["refers_to"].astype("Int64"), pdf["kind"], pdf["shard"])
+            for page_id, url, payload, digest, refers, kind, shard_no in zip(*cols, strict=True):
+                page_id, url = number(page_id), url if isinstance(url, str) else None
+                if kind == 0:
+                    if linked[0] != page_id:
+                        linked = (page_id, {})
+                    linked[1][digest] = (int(refers), url)
+                    continue
                 if state["shard"] != shard_no:
                     start(int(shard_no), 0)
                 elif state["bytes"] >= roll_bytes:
                     start(int(shard_no), state["seq"] + 1)
-                text = lambda x: x if isinstance(x, str) else None
-                number = lambda x: None if x is pd.NA else int(x)
-                data = gzip_member(record(number(page_id), text(url), bytes(payload), digest, number(ref), text(ref_url)))
+                ref, ref_url = linked[1].get(digest, (None, None)) if page_id is not None and linked[0] == page_id else (None, None)
+                data = gzip_member(record(page_id, url, bytes(payload), digest, ref, ref_url))
                 state["file"].write(data)
                 state["sha1"].update(data)
                 state["records"] += 1
@@ -202,7 +214,7 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll
         close()
         yield pd.DataFrame(out, columns=["file", "records", "bytes", "sha1"])
 
-    placed.select("page_id", "url", "payload", "digest", "refers_to", "refers_url", "shard").mapInPandas(write, MEMBER).write.parquet(f"{target}/{MANIFEST}")
+    placed.select("page_id", "url", "payload", "digest", "refers_to", "kind", "shard").mapInPandas(write, MEMBER).write.parquet(f"{target}/{MANIFEST}")
     return spark.read.schema(MEMBER).parquet(f"{target}/{MANIFEST}")
 
 
