@@ -13,6 +13,8 @@ The outcome is that of best fit decreasing, one document at a time.
 
 from __future__ import annotations
 
+import re
+import struct
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from zlib import crc32
@@ -29,7 +31,7 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; words that are looked up together.
-CACHE, BLOCK_WORDS = 300_000, 100_000
+CACHE, BLOCK_WORDS = 1_000_000, 400_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -38,11 +40,20 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: A word of ASCII and Latin-1 letters with ASCII punctuation after it: the tokenizer splits between the two.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds:
-    """Ids of texts under a tokenizer that drops white space and never joins words across it.
+    """Ids of texts under a lower-casing tokenizer that drops white space and never joins words across it.
 
-    Words are then independent, and each distinct one is encoded once. Ids are
-    little-endian unsigned 32-bit.
+    Words are then independent, and each distinct one is looked up once; of
+    plain words the letters and the punctuation after them are independent
+    too. Ids are little-endian unsigned 32-bit.
     """
 
     def __init__(self, path: str):
@@ -51,7 +62,9 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         held, size = [], 0
@@ -64,13 +77,22 @@ class WordIds:
         yield from self.block(held)
 
     def block(self, held: list[list[bytes]]) -> Iterator[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        fresh = [w for w in set().union(*held) if w not in self.known]
-        for word, e in zip(fresh, self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-            self.known[word] = np.array(e.ids, "<u4").tobytes()
+        if len(self.words) > CACHE:
+            self.words.clear()
+        if len(self.parts) > CACHE:
+            self.parts = {b"": b""}
+        fresh = {}
+        for w in set().union(*held):
+            if w not in self.words:
+                m = PLAIN.fullmatch(w)
+                fresh[w] = (m[1].lower(), m[2]) if m else (w, b"")
+        new = [p for p in {p for pair in fresh.values() for p in pair} if p not in self.parts]
+        for part, e in zip(new, self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
+            self.parts[part] = pack_ids(e.ids)
+        for w, (letters, rest) in fresh.items():
+            self.words[w] = self.parts[letters] + self.parts[rest]
         for words in held:
-            yield b"".join(map(self.known.__getitem__, words))
+            yield b"".join(map(self.words.__getitem__, words))
 
 
 def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
