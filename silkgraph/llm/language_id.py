@@ -9,7 +9,6 @@ that bit, less the number that false positives would give.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 from zlib import crc32
 
 import numpy as np
@@ -30,6 +29,8 @@ FIT_DOCS = 2000
 MIN_SHARE = 2e-5
 #: Words that a worker remembers.
 CACHE = 500_000
+#: Bits of a count.
+FIELD = 40
 UNKNOWN = "und"
 
 
@@ -64,12 +65,43 @@ class Filter:
         fill = [float(((self.slots >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(langs))]
         self.false_rate = np.array([f**HASHES for f in fill])
 
-    def word_hits(self, word: str) -> np.ndarray:
-        """n-grams of the word, and how many of them each language has."""
-        grams = word_grams(word)
-        masks = np.bitwise_and.reduce(self.slots[np.array([slots_of(g) for g in grams])], axis=1)
-        bits = (masks[:, None] >> np.arange(len(self.langs), dtype=np.uint64)) & np.uint64(1)
-        return np.concatenate([[len(grams)], bits.sum(0)]).astype(np.float64)
+    def languages(self, gram: str) -> int:
+        """Mask of the languages that contain the n-gram, or seem to."""
+        mask = ~0
+        for s in slots_of(gram):
+            mask &= int(self.slots[s])
+        return mask
+
+
+class Counter:
+    """Popcounts of words: fields of ``FIELD`` bits in one number, of all n-grams and then of each language's."""
+
+    def __init__(self, model: Filter):
+        self.model, self.grams, self.words = model, {}, {}
+
+    def gram(self, gram: str) -> int:
+        mask = self.model.languages(gram)
+        return 1 + sum(1 << (FIELD * (i + 1)) for i in range(len(self.model.langs)) if mask >> i & 1)
+
+    def word(self, word: str) -> int:
+        total = 0
+        for g in word_grams(word):
+            if (x := self.grams.get(g)) is None:
+                x = self.grams[g] = self.gram(g)
+            total += x
+        return total
+
+    def text(self, words: list[str]) -> np.ndarray:
+        """n-grams of the words, and how many of them each language has."""
+        known = self.words
+        if len(known) > CACHE or len(self.grams) > CACHE:
+            known.clear()
+            self.grams.clear()
+        for w in set(words):
+            if w not in known:
+                known[w] = self.word(w)
+        total = sum(map(known.__getitem__, words))
+        return np.array([total >> (FIELD * i) & ((1 << FIELD) - 1) for i in range(len(self.model.langs) + 1)], float)
 
 
 def fit(docs: DataFrame, limit: int = FIT_DOCS) -> Filter:
@@ -126,28 +158,12 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Filter.__new__(Filter)
         m.langs, m.slots, m.false_rate = shared.value
-        rows = np.zeros((CACHE + 1, len(m.langs) + 1))
-        fresh = count()
-
-        class Known(dict):
-            def __missing__(self, word: str) -> int:
-                i = next(fresh)
-                rows[i] = m.word_hits(word)
-                self[word] = i
-                return i
-
-        known = Known()
+        counter = Counter(m)
         for pdf in batches:
             out = []
             for text in pdf["text"]:
-                hits = np.zeros(len(m.langs) + 1)
                 words = letters(text) if isinstance(text, str) and m.langs else []
-                for a in range(0, len(words), 10_000):
-                    if len(known) + 10_000 > CACHE:
-                        known.clear()
-                        fresh = count()
-                    part = np.fromiter(map(known.__getitem__, words[a : a + 10_000]), np.int64)
-                    hits += rows[part].sum(0)
+                hits = counter.text(words)
                 true = np.maximum(0.0, (hits[1:] - hits[0] * m.false_rate) / np.maximum(1e-9, 1 - m.false_rate))
                 if not words or not true.sum():
                     out.append((UNKNOWN if not words else m.langs[0], 0.0))
