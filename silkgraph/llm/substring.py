@@ -8,13 +8,15 @@ it is a segment, the seed extended both ways as far as they reach.
    extension both ways) only the one with the smallest document can keep its
    words; the others are repeats as a whole.
 2. Seeds with different extensions are extended window by window: the text of
-   their first documents is read again, and a window is a repeat if a
-   document with a smaller id has it.
+   each extension's first document is read again at all places where it has
+   the extension, and a window is a repeat if a document with a smaller id
+   has it.
 3. Overlapping repeats unite to maximal ones, whose words are cut.
 
-Neither step forms pairs. Both joins stream sorted rows and hold one row at a
-time, and rows that a batch can decide on its own never travel, so a segment
-that very many documents share costs its join a row per batch.
+Neither step forms pairs. Both joins stream sorted rows and hold no more than
+the places of one segment in one document, and rows that a batch can decide on
+its own never travel, so a segment that very many documents share costs its
+join one document's places per batch.
 """
 
 from __future__ import annotations
@@ -141,11 +143,12 @@ def keyed(cols: dict[str, np.ndarray], keys: list[str], keep_all: bool) -> pd.Da
 
 
 def stream(extend: bool):
-    """Reader of sorted rows: repeats, and (if ``extend``) first segments of seeds with several."""
+    """Reader of sorted rows: repeats, and (if ``extend``) the leading documents' rows of seeds with several segments."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", "th", "start", "n", "kind"]
-        last = lead = pending = None
+        last = lead = None
+        count, held = 0, []  # segments of the last seed; its leaders' rows for as long as it has but one
         for pdf in batches:
             decided = pdf[pdf["kind"] == REMOVE]
             yield decided[names]
@@ -161,17 +164,21 @@ def stream(extend: bool):
             beaten = doc > leader
             yield pdf.loc[beaten, names].assign(kind=REMOVE)
             if extend:
-                heads = pdf[new]
-                if len(heads):
-                    s = heads["seed"].to_numpy()
-                    same = s[1:] == s[:-1]
-                    several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-                    if pending is not None and pending[0] == s[0]:
-                        several[0] = True
-                        if not pending[2]:
-                            yield pending[1][names]
-                    yield heads.loc[several, names]
-                    pending = (s[-1], heads.iloc[[-1]], bool(several[-1]))
+                group = np.cumsum(firsts(seed)) - 1
+                counts = np.bincount(group, new).astype(np.int64)
+                if last is not None and last[0] == seed[0]:
+                    counts[0] += count
+                    if counts[0] > 1:
+                        yield from held
+                        held = []
+                else:
+                    held = []
+                yield pdf.loc[~beaten & (counts[group] > 1), names].drop_duplicates()
+                if group[-1] > 0:
+                    held = []
+                count = counts[-1]
+                if count == 1:
+                    held.append(pdf.loc[~beaten & (group == group[-1]), names].drop_duplicates())
             last, lead = (seed[-1], one[-1], two[-1]), leader[-1]
 
     return run

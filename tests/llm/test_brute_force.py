@@ -1,6 +1,7 @@
 """Operators that SQL can't express, against plain Python on small inputs."""
 
 import collections
+import hashlib
 import random
 import re
 import zlib
@@ -189,6 +190,29 @@ def test_substring_dedup(spark):
             assert i not in got
 
 
+@pytest.mark.parametrize("batch", [10_000, 1, 3])
+def test_passages_repeated_inside_a_document(spark, batch):
+    rnd = random.Random(5)
+    draw = lambda n: [f"v{rnd.randrange(10**9)}" for _ in range(n)]
+    p, q, line, loop = draw(60), draw(60), draw(10), draw(10)
+    passage = [*draw(40), *p, *draw(40)]
+    texts = {
+        3: [*draw(30), *p, *draw(30)], 5: [*passage, *draw(25), *passage, *draw(25), *passage],
+        13: [*draw(20), *line * 6, *draw(20)], 15: [*draw(20), *line * 20, *draw(20)],
+        23: [*draw(9), *q], 25: [*q, *draw(70), *q, *draw(70), *q], 26: [*loop * 9], 27: [*draw(60), *loop * 30, *draw(60), *loop * 7],
+    }
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {r["doc_id"]: r for r in substring.dedup_digest(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = brute_repeats(texts)
+    assert got[5]["n_removed"] == 180 and got[15]["n_removed"] == 200
+    assert {i: r["kept_sha256"] for i, r in got.items()} == {i: hashlib.sha256(x.encode()).hexdigest() for i, x in want.items()}
+
+
 def test_classifier_on_labels(spark):
     got = {r["doc_id"]: r for r in quality_classifier.op1_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
     labels = duck("/root/testdata/sf0.01").execute("select doc_id, quality, toxic from labels").fetchall()
