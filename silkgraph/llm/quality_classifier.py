@@ -11,6 +11,7 @@ the global rate.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,11 +70,11 @@ def features(text: str | None, lexicon: Lexicon) -> tuple[list[float], list[floa
     uppers = len(raw) - len(raw.translate(None, UPPER.encode()))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     hits = list(filter(None, map(lexicon.__getitem__, raw.translate(_WORDS).split()))) if lexicon.entries else []
-    distinct = len(set(words))
-    common = max(words[:4000].count(w) for w in set(words[:: max(1, n // 8)][:8]))
+    counts = Counter(words)
+    distinct, common = len(counts), max(counts.values())
     shape = [
         np.log(n), size / n / 10, uppers / max(1, letters), (len(raw) - len(plain)) / size, 1 - len(plain.split()) / n, distinct / n**0.8,
-        1 - len(set(lines)) / max(1, len(lines)), (len(raw) - len(raw.translate(None, b"0123456789"))) / size, sum(len(x) < 20 for x in lines) / max(1, len(lines)), common / min(n, 4000),
+        1 - len(set(lines)) / max(1, len(lines)), (len(raw) - len(raw.translate(None, b"0123456789"))) / size, sum(len(x) < 20 for x in lines) / max(1, len(lines)), common / n,
     ]
     return shape, [sum(hits), n / 100, 100 * sum(hits) / (n + 20), np.sqrt(len(hits)), max(hits, default=0.0)], n
 

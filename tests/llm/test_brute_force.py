@@ -213,6 +213,18 @@ def test_passages_repeated_inside_a_document(spark, batch):
     assert {i: r["kept_sha256"] for i, r in got.items()} == {i: hashlib.sha256(x.encode()).hexdigest() for i, x in want.items()}
 
 
+def test_most_common_word_of_the_whole_text():
+    rnd = random.Random(6)
+    top = lambda words: quality_classifier.features(" ".join(words), quality_classifier.Lexicon({}))[0][quality_classifier.FEATURES.index("top_word")]
+    assert top([*map(str, range(4000)), *["same"] * 16000]) == 0.8
+    assert top([*["same"] * 3000, *map(str, range(9000))]) == 0.25
+    words = [*["same"] * 80, *map(str, range(320))]
+    for _ in range(100):
+        rnd.shuffle(words)
+        assert top(words) == 0.2
+    assert top(["one"]) == 1.0 and top([]) == 0.0
+
+
 def test_classifier_on_labels(spark):
     got = {r["doc_id"]: r for r in quality_classifier.op1_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
     labels = duck("/root/testdata/sf0.01").execute("select doc_id, quality, toxic from labels").fetchall()
