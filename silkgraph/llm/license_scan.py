@@ -1,18 +1,19 @@
-"""Licence scan over a positional index of rare template words. Native.
-
-One narrow pass over the words of all documents keeps only words that are in
-the index of licence templates (with their positions and the outcome of the
-key-phrase check right there) and places of the base phrases. From these few
-rows come the document frequencies of the licence words, the rare words of
-each template, and the votes of a document's rare words for the place where a
-template would start.
+"""Licence scan over a positional index of template words. Native.
+
+One narrow pass over the words of all documents looks up the key phrases of
+the licence templates: a place where a template's key phrase stands gives the
+template's label, whatever differs around it, and no other place does. The
+pass keeps those places with the words there, places of the base phrases, and
+the licence words of each document. From these few rows come the document
+frequencies of the licence words, each document's own rarest words of a
+template, and the share of their weight whose postings meet at the place.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silkgraph.llm.common import materialize, norm_words, table
@@ -34,30 +35,31 @@ TEMPLATES = [
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
 ]
-#: Rare words of a template that are looked up, and the share of their weight that must agree on a place.
+#: Rare words of a template that a document is scored by, of those that it has.
 RARE_WORDS = 4
-MIN_SHARE = 0.75
+LICENCE_WORDS = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
 
 
 def postings() -> list[tuple]:
-    """``word, template, tpos, label, key_at, key`` for every word of every template.
-
-    ``key_at`` is where the key phrase starts in the template.
-    """
+    """``i_word, template, label, key_at, key, wording`` per template; its key phrase starts with the word, at ``key_at``."""
     rows = []
     for t, (label, text, phrase) in enumerate(TEMPLATES):
         words, key = text.split(), phrase.split()
         at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        rows += [(w, t, i, label, at, key) for i, w in enumerate(words)]
+        rows.append((key[0], t, label, at, key, words))
     return rows
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Rows of interest: index words, base phrases, and one row per document."""
+    """Rows of interest: verified places of templates (with the words ``there``), base phrases, and the first word of each document.
+
+    Words missing ``there`` before the document's start are cut off: ``cut`` of them.
+    """
     words = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), norm_words(F.col("text")).alias("w"))
     longest = max(len(p.split()) for p in PHRASES)
     ahead = [F.col("w"), *[F.slice("w", F.lit(i + 1), F.size("w")) for i in range(1, longest)]]
-    rows = words.select("doc_id", "rid", "w", F.size("w").alias("n_words"), F.posexplode_outer(F.arrays_zip(*ahead)).alias("pos", "z"))
+    has = F.array_intersect(F.array(*map(F.lit, LICENCE_WORDS)), "w")
+    rows = words.select("doc_id", "rid", "w", F.size("w").alias("n_words"), has.alias("has"), F.posexplode_outer(F.arrays_zip(*ahead)).alias("pos", "z"))
     w = [F.col("z").getField(f) for f in rows.schema["z"].dataType.fieldNames()]
     base = F.lit(None).cast("string")
     for phrase, label in PHRASES.items():
@@ -65,40 +67,47 @@ def scan(docs: DataFrame) -> DataFrame:
         for i, word in enumerate(phrase.split()):
             here &= w[i] == word
         base = F.when(here, label).otherwise(base)
-    rows = rows.select("doc_id", "rid", "w", "n_words", "pos", w[0].alias("word"), base.alias("base"))
-    index = docs.sparkSession.createDataFrame(postings(), "i_word string, template int, tpos int, label string, key_at int, key array<string>")
-    found = rows.join(F.broadcast(index), F.col("word") == F.col("i_word"), "left").where("template is not null or base is not null or coalesce(pos, 0) = 0")
-    start = F.col("pos") - F.col("tpos") + F.col("key_at")
-    key_ok = (start >= 0) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("key")) == F.col("key"))
-    return found.select("doc_id", "rid", "n_words", "pos", "base", "word", "template", "tpos", "label", F.coalesce(key_ok, F.lit(False)).alias("key_ok"))
+    rows = rows.select("doc_id", "rid", "w", "n_words", "has", "pos", w[0].alias("word"), base.alias("base"))
+    index = docs.sparkSession.createDataFrame(postings(), "i_word string, template int, label string, key_at int, key array<string>, wording array<string>")
+    key_ok = F.coalesce(F.slice("w", F.col("pos") + 1, F.size("key")) == F.col("key"), F.lit(False))
+    found = rows.join(F.broadcast(index), F.col("word") == F.col("i_word"), "left").withColumn("key_ok", key_ok).where("key_ok or base is not null or coalesce(pos, 0) = 0")
+    cut = F.greatest(F.col("key_at") - F.col("pos"), F.lit(0))
+    there = F.slice("w", F.greatest(F.col("pos") - F.col("key_at"), F.lit(0)) + 1, F.size("wording") - cut)
+    return found.select(
+        "doc_id", "rid", "n_words", "pos", "base", "key_ok", F.when(F.col("key_ok") | (F.coalesce("pos", F.lit(0)) == 0), F.col("has")).alias("has"),
+        *[F.when(F.col("key_ok"), c).alias(n) for n, c in (("label", F.col("label")), ("wording", F.col("wording")), ("cut", cut), ("there", there))],
+    )
+
+
+def agreement(weights: dict[str, float]) -> Column:
+    """Share of the weight of the document's rarest words of a template that stand where the template has them."""
+    known = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    ranked = F.array_sort(F.transform(F.array_intersect("wording", "has"), lambda w: F.struct((-known[w]).alias("x"), w.alias("w"))))
+    rare = F.slice(ranked, 1, RARE_WORDS)
+    meet = F.transform("wording", lambda w, i: F.when(F.get("there", i - F.col("cut")) == w, w))
+    total = lambda rows: F.aggregate(rows, F.lit(0.0), lambda acc, r: acc - r["x"])
+    return total(F.filter(rare, lambda r: F.coalesce(F.array_contains(meet, r["w"]), F.lit(False)))) / total(rare)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
-    Null text is empty. Documents without a licence have empty labels and the
-    score 0; base phrases alone give the score 1; otherwise the score is the
-    best share of rare-word weight that agrees on a template's place. Repeated
-    rows give a row each. Other columns of ``docs`` are ignored.
+    Null text is empty. Labels are those of the base phrases and of all
+    templates whose key phrase the document has. Documents without a licence
+    have empty labels and the score 0; base phrases alone give the score 1;
+    otherwise the score is the best share of rare-word weight that agrees with
+    a place, of the document's own rarest words of the template. Repeated rows
+    give a row each. Other columns of ``docs`` are ignored.
     """
-    spark = docs.sparkSession
     seen = materialize(scan(docs), "licence")
-    counts = seen.agg(F.count_distinct("rid")).first()[0]
-    df = {r["word"]: r["n"] for r in seen.where("template is not null").select("rid", "word").distinct().groupBy("word").agg(F.count("*").alias("n")).collect()}
-    rare = []
-    for t, (_, text, _) in enumerate(TEMPLATES):
-        weighed = sorted(((-math.log((counts + 1) / (df.get(w, 0) + 1)) - 1e-6, i) for i, w in enumerate(text.split())))[:RARE_WORDS]
-        total = sum(-x for x, _ in weighed)
-        rare += [(t, i, -x / total) for x, i in weighed]
-    index = F.broadcast(spark.createDataFrame(rare, "template int, tpos int, share double"))
-    places = (
-        seen.where("template is not null").join(index, ["template", "tpos"]).groupBy("rid", "template", "label", (F.col("pos") - F.col("tpos")).alias("at"))
-        .agg(F.sum("share").alias("share"), F.max("key_ok").alias("key_ok"))
-    )
-    verdicts = places.where(F.col("key_ok") & (F.col("share") >= MIN_SHARE)).select("rid", "label", F.least("share", F.lit(1.0)).alias("share"))
+    heads = seen.where("coalesce(pos, 0) = 0").groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("has").alias("has"))
+    # the null word of every document counts the documents
+    df = {r["word"]: r["n"] for r in heads.select(F.explode(F.concat(F.array(F.lit(None).cast("string")), "has")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    weights = {w: math.log((df.get(None, 0) + 1) / (df.get(w, 0) + 1)) + 1e-6 for w in LICENCE_WORDS}
+    verdicts = seen.where("key_ok").select("rid", "label", F.least(agreement(weights), F.lit(1.0)).alias("share"))
     base = seen.where("base is not null").select("rid", "pos", "base").distinct()
     facts = (
-        seen.where("coalesce(pos, 0) = 0").select("rid", "doc_id", "n_words").distinct().select("rid", "doc_id", "n_words", *[F.lit(None).cast(k).alias(c) for c, k in (("pos", "int"), ("base", "string"), ("label", "string"), ("share", "double"))])
+        heads.select("rid", "doc_id", "n_words", *[F.lit(None).cast(k).alias(c) for c, k in (("pos", "int"), ("base", "string"), ("label", "string"), ("share", "double"))])
         .unionByName(base, allowMissingColumns=True)
         .unionByName(verdicts, allowMissingColumns=True)
     )

@@ -56,6 +56,32 @@ def test_license_places(spark, documents):
         assert 0 <= r["score"] <= 1
 
 
+def test_key_phrase_decides_on_a_license(spark, documents):
+    texts = [
+        "Licensed under the MIT License", "Released in May. This package is licensed under the MIT License.", "MIT License, see the file.", "GNU General Public License, version 3", "Covered by the Mozilla Public License.",
+        "the MIT has no license", "License MIT", "Permission is hereby granted, free of charge, to all. Released under the MIT License. MIT License", "Apache License Version 2.1", "this is free and unencumbered software", None, "",
+    ]
+    rows = dict(enumerate([*texts, *[text for text, _ in documents.values()]]))
+    words = {i: WORD.findall((t or "").translate(LOWER)) for i, t in rows.items()}
+    df = collections.Counter(w for x in words.values() for w in set(x))
+    weight = lambda w: np.log((len(rows) + 1) / (df[w] + 1)) + 1e-6
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert [got[i]["labels"] for i in range(12)] == ["mit", "mit", "mit", "gpl,gpl-3.0", "mpl-2.0", "", "", "mit", "", "unlicense", "", ""]
+    for i, x in words.items():
+        labels, shares = {label for p, label in license_scan.PHRASES.items() if f" {p} " in f" {' '.join(x)} "}, [0.0]
+        base = bool(labels)
+        for label, text, phrase in license_scan.TEMPLATES:
+            t, key = text.split(), phrase.split()
+            at = next(k for k in range(len(t)) if t[k : k + len(key)] == key)
+            rare = sorted({w for w in t if w in x}, key=lambda w: (-weight(w), w))[: license_scan.RARE_WORDS]
+            for k in (k for k in range(len(x)) if x[k : k + len(key)] == key):
+                labels.add(label)
+                meet = {w for j, w in enumerate(t) if 0 <= k - at + j < len(x) and x[k - at + j] == w}
+                shares.append(sum(weight(w) for w in rare if w in meet) / sum(map(weight, rare)))
+        assert got[i]["labels"] == ",".join(sorted(labels))
+        assert got[i]["score"] == pytest.approx(1.0 if base else max(shares), abs=1e-8)
+
+
 def test_language_of_held_out_documents(spark, documents):
     got = language_id.op6_language_id(spark, SMALL).collect()
     out = [r for r in got if r["held_out"]]
