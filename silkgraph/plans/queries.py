@@ -92,8 +92,8 @@ QUERIES: dict[str, Query] = {
     "zscore_stats": on_features(classify.zscore_stats),
     "logreg_predict": on_features(lambda f: classify.logreg_predict(f, f)),
     "leaderboard_flatten": _flat,
-    "gen_planted": lambda spark, sf: generate.planted_components(spark, 2000, 8000),
-    "gen_small_world": lambda spark, sf: generate.small_world(spark, 2000),
-    "gen_clique": lambda spark, sf: generate.tree_with_cliques(spark, 8000),
-    "gen_features": lambda spark, sf: generate.labelled_features(spark, 500, 64),
+    "gen_planted": lambda spark, sf: generate.planted_components(spark),
+    "gen_small_world": lambda spark, sf: generate.small_world(spark),
+    "gen_clique": lambda spark, sf: generate.tree_with_cliques(spark),
+    "gen_features": lambda spark, sf: generate.labelled_features(spark),
 }

@@ -98,3 +98,14 @@ def test_generators_repeat(spark):
         assert a == b and all(u != v for u, v, _ in a) and len({x[:2] for x in a}) == len(a)
     f = generate.labelled_features(spark, 300, 16).collect()
     assert len(f) == 300 and 0.55 < sum(r["label"] for r in f) / 300 < 0.8
+
+
+def test_generators_are_registered_at_full_size(spark):
+    from silkgraph.plans.queries import QUERIES
+
+    ends = lambda name: QUERIES[name](spark, "").selectExpr("count(*)", "max(greatest(u, v))").first()
+    for name, edges, vertices in (("gen_planted", 280_000, 28_500), ("gen_small_world", 300_000, 30_000), ("gen_clique", 280_000, 28_000)):
+        n, top = ends(name)
+        assert 0.98 * edges <= n <= 1.02 * edges and top >= 0.99 * vertices - 1
+    rows = QUERIES["gen_features"](spark, "")
+    assert rows.count() == 80_000 and len(rows.first()["x"]) == 1000
