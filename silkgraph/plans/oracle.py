@@ -132,3 +132,6 @@ ORACLES = {
 for _n in range(3, 8):
     ORACLES[f"cycles_len{_n}"] = cycles([_n], False)
     ORACLES[f"ratio_cycles_len{_n}"] = cycles([_n], True)
+for _n in range(5, 8):
+    ORACLES[f"flow_cycles_len{_n}"] = cycles([_n], True, FLOW)
+ORACLES["flow_plain_cycles"] = cycles(range(3, 6), False, FLOW)

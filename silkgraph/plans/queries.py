@@ -73,6 +73,8 @@ QUERIES: dict[str, Query] = {
     "ratio_cycle_counts": on_edges(lambda e: cycles.cycle_counts(cycles.cycles(e, ratio=True))),
     "cycle_report": _report,
     "flow_cycles_len4": cycle_query([3, 4], True, src.transfers_flow),
+    **{f"flow_cycles_len{n}": cycle_query([n], True, src.transfers_flow) for n in range(5, 8)},
+    "flow_plain_cycles": cycle_query(range(3, 6), False, src.transfers_flow),
     "weak_components": on_edges(components.weak_components),
     "component_sizes": on_edges(components.component_sizes),
     "scc_labels": on_edges(components.strong_components),
