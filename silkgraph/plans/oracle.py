@@ -135,3 +135,4 @@ for _n in range(3, 8):
 for _n in range(5, 8):
     ORACLES[f"flow_cycles_len{_n}"] = cycles([_n], True, FLOW)
 ORACLES["flow_plain_cycles"] = cycles(range(3, 6), False, FLOW)
+ORACLES["sp_counts_all"] = SP_COUNTS.removesuffix(" where d.s in (select u from e)")

@@ -49,6 +49,11 @@ def _sp_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.join(suppliers, "s", "left_semi").select("s", "v", "dist", F.round("sigma", 3).alias("sigma"))
 
 
+def _sp_counts_all(spark: SparkSession, sf: str) -> DataFrame:
+    counts = shortest.path_counts(src.transfers_multi(spark, sf).where("u <> v"))
+    return counts.select("s", "v", "dist", F.round("sigma", 3).alias("sigma"))
+
+
 def _flat(spark: SparkSession, sf: str) -> DataFrame:
     return leaderboard.flatten(leaderboard.sample_documents(spark, sf)).withColumn("users", F.array_join("users", " "))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "scc_condensed_degree": on_edges(components.condensed_degrees),
     "sssp_from_1": lambda spark, sf: shortest.sssp(src.transfers_multi(spark, sf), 1),
     "sp_counts": _sp_counts,
+    "sp_counts_all": _sp_counts_all,
     "betweenness_top100": lambda spark, sf: shortest.top_central(shortest.betweenness(src.transfers_multi(spark, sf).where("u <> v"))),
     "contracted_sources": on_edges(lambda e: graph.contracted_sources(e.select(F.col("v").alias("u"), F.col("u").alias("v")))),
     "centroids": on_features(classify.centroids),
