@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from silkgraph.sources.shared import materialize, shared_dir
 
-__all__ = ["ascii_lower", "broadcast_if_small", "materialize", "norm_words", "shared_dir", "small_enough", "table"]
+__all__ = ["ascii_lower", "broadcast_if_small", "materialize", "norm_words", "shared_dir", "small_enough", "table", "unused"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -40,3 +40,12 @@ def small_enough(df: DataFrame, rows: int) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast ``df`` behind a row count; beyond it Spark shuffles instead."""
     return F.broadcast(df) if small_enough(df, rows) else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name

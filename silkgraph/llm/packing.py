@@ -1,37 +1,47 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
-Bulk-synchronous: documents are range-sorted by length, longest first, which
-gives each its rank. Lengths and gaps are whole numbers up to the capacity, so
-a sorted list of either is exactly a list of runs of equal values, and a
-superstep sweeps runs: all documents of one length look up the smallest gap
-that holds them; of documents that want the same sequences, rank decides;
-gaps are updated, and the next shorter length follows. A superstep handles any
-number of documents at once, and the runs are bounded by the capacity, not by
-the data. At the end every document finds its place from length and rank.
-The outcome is that of best fit decreasing, one document at a time.
+Bulk-synchronous. Documents are range-sorted by length, longest first, which
+gives each its rank among those of its length; equal lengths are a run, and so
+are sequences with equal gaps, so tables of runs are bounded by the capacity,
+not by the data. Sizes fall into ranges, each the upper half of what is left.
+In a superstep every range sweeps its own documents and gaps at once: runs of
+documents, longest first, look up their successor, the smallest gap that holds
+them; of documents that want the same sequences, rank decides; gaps are
+updated. What gaps are left travels to the range of the documents that fit
+next, and the superstep is repeated. The first range with documents that wait
+gets no more gaps from above, and opens new sequences for them. After as many
+supersteps as there are ranges every document has a run, and finds its place
+in it from its rank.
 """
 
 from __future__ import annotations
 
-import re
-import struct
 from bisect import bisect_left, insort
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silkgraph.llm.common import materialize, table
+from silkgraph.llm.common import materialize, table, unused
 
 CAPACITY = 4096
 #: Id that ends a document.
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; words that are looked up together.
-CACHE, BLOCK_WORDS = 1_000_000, 400_000
+#: Words that a worker process remembers; bytes of text (one document at least) that are looked up together; parts of words that are encoded together.
+CACHE, BLOCK_BYTES, JOINED = 1_000_000, 8 << 20, 500
+#: Ranges of sizes: (C/2, C], (C/4, C/2], and so on; the last one has all that is left.
+RANGES = 8
+#: Bits of a rank in a key, and of a sequence's number among those that a superstep opens.
+RANK_BITS = 40
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -41,11 +51,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 #: A word of ASCII and Latin-1 letters with ASCII punctuation after it: the tokenizer splits between the two.
-PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<rest>[!-&(-/:-@\[-`{-~]*)$"
 
 
-def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+def grown(a: np.ndarray, n: int) -> np.ndarray:
+    """``a`` with room for ``n`` rows."""
+    return a if n <= len(a) else np.concatenate([a, np.zeros((max(n, 2 * len(a)) - len(a), *a.shape[1:]), a.dtype)])
 
 
 class WordIds:
@@ -53,7 +64,8 @@ class WordIds:
 
     Words are then independent, and each distinct one is looked up once; of
     plain words the letters and the punctuation after them are independent
-    too. Ids are little-endian unsigned 32-bit.
+    too. Plain parts are encoded many at a time: each ends with its only token
+    that has the tokenizer's mark of a word's end.
     """
 
     def __init__(self, path: str):
@@ -63,36 +75,110 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {b"": b""}
-
-    def of(self, texts: list[str | None]) -> Iterator[bytes]:
-        held, size = [], 0
-        for text in texts:
-            held.append((text or "").encode().split())
-            size += len(held[-1])
-            if size >= BLOCK_WORDS:
-                yield from self.block(held)
-                held, size = [], 0
-        yield from self.block(held)
-
-    def block(self, held: list[list[bytes]]) -> Iterator[bytes]:
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.parts) > CACHE:
-            self.parts = {b"": b""}
-        fresh = {}
-        for w in set().union(*held):
-            if w not in self.words:
-                m = PLAIN.fullmatch(w)
-                fresh[w] = (m[1].lower(), m[2]) if m else (w, b"")
-        new = [p for p in {p for pair in fresh.values() for p in pair} if p not in self.parts]
-        for part, e in zip(new, self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-            self.parts[part] = pack_ids(e.ids)
-        for w, (letters, rest) in fresh.items():
-            self.words[w] = self.parts[letters] + self.parts[rest]
-        for words in held:
-            yield b"".join(map(self.words.__getitem__, words))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[str, int] = {}  # row in pairs: the two parts of a word
+        self.pairs = np.zeros((1 << 16, 2), np.int32)
+        self.parts: dict[str, int] = {"": 0}
+        self.begin, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, "<u4")  # part i: flat[begin[i]:begin[i + 1]]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_plain(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts one after another, and the number of each part's ids."""
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        chunks = [parts[i : i + JOINED] for i in range(0, len(parts), JOINED)]
+        for chunk, own in zip(chunks, self.encode([" ".join(c) for c in chunks]), strict=True):
+            last = np.flatnonzero(self.ends[own])
+            if len(last) != len(chunk) or last[-1] != len(own) - 1:  # not a tokenizer that marks the ends of words
+                alone = self.encode(chunk)
+                own, size = np.concatenate(alone), np.array([len(x) for x in alone], np.int64)
+            else:
+                size = np.diff(last, prepend=-1)
+            ids.append(own)
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def part_numbers(self, texts: pa.Array, plain: bool) -> np.ndarray:
+        """Numbers of the parts ``texts``; those that are new are encoded."""
+        coded = texts.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [p for p in distinct if p not in self.parts]
+        if new:
+            if plain:
+                ids, sizes = self.encode_plain(new)
+            else:
+                alone = self.encode(new)
+                ids, sizes = np.concatenate(alone), np.array([len(x) for x in alone], np.int64)
+            n, k = len(self.parts), len(new)
+            self.parts.update(zip(new, range(n, n + k), strict=True))
+            self.begin = grown(self.begin, n + k + 1)
+            self.begin[n + 1 : n + 1 + k] = self.begin[n] + np.cumsum(sizes)
+            self.flat = grown(self.flat, int(self.begin[n + k]))
+            self.flat[self.begin[n] : self.begin[n + k]] = ids
+        return np.fromiter(map(self.parts.__getitem__, distinct), np.int32, len(distinct))[coded.indices.to_numpy()]
+
+    def learn(self, new: pa.Array) -> None:
+        found = pc.extract_regex(new, PLAIN)
+        plain = found.is_valid().to_numpy(zero_copy_only=False)
+        n, k = len(self.words), len(new)
+        self.pairs = grown(self.pairs, n + k)
+        own = self.pairs[n : n + k]
+        split = found.filter(found.is_valid())
+        own[plain, 0] = self.part_numbers(pc.utf8_lower(split.field("letters")), True)
+        own[plain, 1] = self.part_numbers(split.field("rest"), True)
+        own[~plain, 0] = self.part_numbers(new.filter(found.is_null()), False)
+        own[~plain, 1] = 0
+        self.words.update(zip(new.to_numpy(zero_copy_only=False).tolist(), range(n, n + k), strict=True))
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin (and the last one's end); nulls are empty."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        rows = np.fromiter(map(self.words.get, distinct, repeat(-1)), np.int64, len(distinct))
+        at = coded.indices.to_numpy()
+        if (rows < 0).any():
+            if len(self.words) > CACHE:  # of what is known only words that this block repeats stay
+                often = np.bincount(at, minlength=len(distinct)) > 1
+                self.forget()
+                self.learn(coded.dictionary.filter(pa.array(often)))
+                rows = np.fromiter(map(self.words.get, distinct, repeat(-1)), np.int64, len(distinct))
+            new = np.flatnonzero(rows < 0)
+            rows[new] = np.arange(len(self.words), len(self.words) + len(new))
+            self.learn(coded.dictionary.take(pa.array(new)))
+        part = self.pairs[rows[at]].reshape(-1)
+        start, size = self.begin[part], self.begin[part + 1] - self.begin[part]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(start - ends + size, size) + np.arange(total)]
+        words = split.offsets.to_numpy().astype(np.int64)
+        return ids, np.concatenate([[0], ends])[2 * (words - words[0])]
+
+
+_KNOWN: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The one of this worker process: what it has learnt serves all its tasks."""
+    if path not in _KNOWN:
+        _KNOWN[path] = WordIds(path)
+    return _KNOWN[path]
+
+
+def blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with at most ``BLOCK_BYTES`` in all, or one text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(size, BLOCK_BYTES + (size[at - 1] if at else 0), side="right")))
+        yield at, end
+        at = end
 
 
 def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -100,104 +186,163 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
 
     Null and empty texts are the end id alone. Only documents longer than
     ``capacity`` are cut. Repeated rows give pieces each; other columns are
-    ignored.
+    ignored. A document's words and ids are in memory at once.
     """
     path = path or tokenizer_path()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(path)
-        last = np.array([end_id], "<u4").tobytes()
-        for pdf in batches:
-            rows = []
-            texts = [x if isinstance(x, str) else None for x in pdf["text"]]
-            for doc_id, ids in zip(pdf["doc_id"].astype("Int64"), words.of(texts), strict=True):
-                ids += last
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, crc32(part), *([np.frombuffer(part, "<i4")] if with_ids else [])))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
-            yield out.astype({"doc_id": "Int64", "piece": "int32"})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
-
-
-def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Places for ``counts[length]`` documents of each length.
-
-    Returns ``keys, sequences, offsets`` of runs, and the number of sequences.
-    A run's documents, in order of rank, go to consecutive sequences at one
-    offset; its key is ``(capacity - length) << 40 | first rank``, ascending.
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+
+    def pieces(doc_id: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        ids, begin = word_ids(path).of(texts)
+        n = np.diff(begin) + 1  # with the end id
+        stop = np.cumsum(n)
+        whole = np.full(int(stop[-1]), end_id, "<u4")
+        inner = np.ones(len(whole), bool)
+        inner[stop - 1] = False
+        whole[inner] = ids
+        count = -(-n // capacity)
+        row = np.repeat(np.arange(len(n)), count)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        start = piece * capacity
+        length = np.minimum(capacity, n[row] - start)
+        at = (stop - n)[row] + start
+        raw = memoryview(whole).cast("B")
+        crc = [crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+        cols = [doc_id.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+        if with_ids:
+            cols.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(whole)), pa.int32()), pa.array(whole.view("<i4"))))
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in blocks(batch["text"]):
+                yield pieces(batch["doc_id"][a:b], batch["text"][a:b])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+
+
+Run = tuple[int, int, int]  # size, number, first
+
+
+def sweep(documents: list[Run], gaps: list[Run], capacity: int, opened: int | None) -> tuple[list[Run], list[Run], list[Run]]:
+    """Match runs of documents with runs of gaps by best fit, longest documents first.
+
+    ``documents`` are ``(length, number, first rank)``, ``gaps`` ``(gap,
+    number, first sequence)``. Returns places ``(key, first sequence,
+    offset)``, and the documents and gaps that are left. A place's documents,
+    in order of rank, go to consecutive sequences at one offset; its key is
+    ``(capacity - length) << RANK_BITS | first rank``. With ``opened``,
+    documents that no gap holds get new sequences, numbered from there.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of sequences
+    held: defaultdict[int, list[tuple[int, int]]] = defaultdict(list)
     order: list[int] = []  # the gaps there are, ascending
-    runs: list[tuple[int, int, int]] = []
-    used = 0
+    places: list[Run] = []
+    waiting: list[Run] = []
 
     def leave(gap: int, first: int, n: int) -> None:
         if gap and n:
-            if not gaps.get(gap):
+            if not held[gap]:
                 insort(order, gap)
-                gaps[gap] = []
-            gaps[gap].append((first, n))
+            held[gap].append((first, n))
 
-    for length in sorted(counts, reverse=True):
+    for gap, n, first in sorted(gaps, key=lambda x: x[2], reverse=True):
+        leave(gap, first, n)
+    for length, left, rank in sorted(documents, key=lambda x: (-x[0], x[2])):
         if not 0 < length <= capacity:
             raise ValueError(f"a piece of {length} tokens does not fit")
-        rank, left = 0, counts[length]
-        key = (capacity - length) << 40
-        while left:
-            at = bisect_left(order, length)
-            if at < len(order):  # the successor of the length among the gaps
-                gap = order[at]
-                first, n = gaps[gap].pop()
-                m = min(n, left)
-                if m < n:
-                    gaps[gap].append((first + m, n - m))
-                if not gaps[gap]:
-                    order.pop(at)
-                runs.append((key | rank, first, capacity - gap))
-                leave(gap - length, first, m)
-                rank, left = rank + m, left - m
-                continue
-            each = capacity // length  # no gap holds one: new sequences, filled one after another
+        key = (capacity - length) << RANK_BITS
+        while left and (at := bisect_left(order, length)) < len(order):  # the successor of the length among the gaps
+            gap = order[at]
+            first, n = held[gap].pop()
+            m = min(n, left)
+            if m < n:
+                held[gap].append((first + m, n - m))
+            if not held[gap]:
+                order.pop(at)
+            places.append((key | rank, first, capacity - gap))
+            leave(gap - length, first, m)
+            rank, left = rank + m, left - m
+        if left and opened is None:
+            waiting.append((length, left, rank))
+        elif left:  # new sequences, filled one after another
+            each = capacity // length
             full, rest = divmod(left, each)
             for j in range(each if full else 0):
-                runs.append((key | rank, used, j * length))
+                places.append((key | rank, opened, j * length))
                 rank += full
-            leave(capacity - each * length, used, full)
-            used += full
+            leave(capacity - each * length, opened, full)
+            opened += full
             for j in range(rest):
-                runs.append((key | rank, used, j * length))
+                places.append((key | rank, opened, j * length))
                 rank += 1
             if rest:
-                leave(capacity - rest * length, used, 1)
-                used += 1
-            left = 0
-    cols = np.array(runs, np.int64).reshape(-1, 3)
-    return cols[:, 0], cols[:, 1], cols[:, 2], used
+                leave(capacity - rest * length, opened, 1)
+                opened += 1
+    return places, waiting, [(gap, n, first) for gap in order for first, n in held[gap]]
+
+
+def range_of(size: int, capacity: int) -> int:
+    return min(RANGES, (capacity // size).bit_length()) - 1
+
+
+STATE = "kind int, range int, size long, n long, first long"
+WAITING, GAP, PLACED = 0, 1, 2
+
+
+def matched(spark: SparkSession, runs: list[Run], capacity: int) -> DataFrame:
+    """Places of runs of documents: ``size, n, first`` hold the key, first sequence and offset of each.
+
+    A table of runs goes through the supersteps; the driver sees none of its rows.
+    """
+    levels = sorted({range_of(x, capacity) for x, _, _ in runs})  # those with documents
+
+    def place_of(gap: int, done: int) -> int:
+        """The next range after ``done`` with documents that the gap may hold; beyond the last there is none."""
+        return next((i for i, r in enumerate(levels) if i > done and r >= range_of(gap, capacity)), len(levels))
+
+    def superstep(now: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            at = int(pdf["range"].iloc[0])
+            of = lambda kind: list(pdf.loc[pdf["kind"] == kind, ["size", "n", "first"]].itertuples(index=False, name=None))
+            places, waiting, gaps = sweep(of(WAITING), of(GAP), capacity, now << RANK_BITS if at == now else None)
+            rows = [(PLACED, at, *x) for x in places] + [(WAITING, at, *x) for x in waiting] + [(GAP, place_of(x[0], at), *x) for x in gaps]
+            return pd.DataFrame(rows, columns=["kind", "range", "size", "n", "first"])
+
+        return run
+
+    state = spark.createDataFrame([(WAITING, levels.index(range_of(x, capacity)), x, n, first) for x, n, first in runs], STATE)
+    done = [state.where("kind = 2")]
+    for now in range(len(levels)):
+        live = state.where((F.col("kind") != PLACED) & (F.col("range") < len(levels)))
+        state = materialize(live.groupBy("range").applyInPandas(superstep(now), STATE), "superstep")
+        done.append(state.where(F.col("kind") == PLACED))
+    return reduce(DataFrame.unionByName, done)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; pieces of a sequence are gapless from 0.
 
-    Needs ``doc_id, piece, length``; the other columns of ``pieces`` stay. Ties
-    are broken by ``doc_id`` and ``piece``; an empty table stays empty.
+    Needs ``doc_id, piece, length``; the other columns of ``pieces`` stay, but
+    for ``sequence_id`` and ``offset``, which are replaced. Ties are broken by
+    ``doc_id`` and ``piece``; an empty table stays empty.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
     order = [F.desc("length"), F.col("doc_id"), F.col("piece")]
-    ranked = materialize(pieces.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
-    cells = ranked.groupBy(F.shiftright("__at", 33).cast("int").alias("part"), "length").agg(F.count("*").alias("n")).collect()  # at most partitions + lengths rows
+    at = unused(pieces, "at")
+    ranked = materialize(pieces.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranked")
+    cells = ranked.groupBy(F.shiftright(at, 33).cast("int").alias("part"), F.col("length").alias("of")).agg(F.count("*").alias("n")).collect()  # at most partitions + lengths rows
     counts: dict[int, int] = {}
     sizes: dict[int, int] = {}
     for r in cells:
-        counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
+        counts[r["of"]] = counts.get(r["of"], 0) + r["n"]
         sizes[r["part"]] = sizes.get(r["part"], 0) + r["n"]
     parts = max(sizes, default=-1) + 1
     before = np.concatenate([[0], np.cumsum([sizes.get(p, 0) for p in range(parts)])]).astype(np.int64)
     longest = sorted(counts, reverse=True)
     first = dict(zip(longest, np.concatenate([[0], np.cumsum([counts[x] for x in longest])])[:-1], strict=True)) if longest else {}
-    keys, sequences, offsets, _ = best_fit_plan(counts, capacity)
-    shared = spark.sparkContext.broadcast((before, first, keys, sequences, offsets))
+    # runs of places are bounded by the capacity (tens of thousands for 4096), whatever the number of pieces
+    runs = matched(spark, [(x, n, 0) for x, n in counts.items()], capacity).select("size", "n", "first").toPandas().sort_values("size")
+    shared = spark.sparkContext.broadcast((before, first, *(runs[c].to_numpy(np.int64) for c in ("size", "n", "first"))))
     names = pieces.columns
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,9 +351,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         for length, n in first.items():
             start[length] = n
         for pdf in batches:
-            at, length = pdf["__at"].to_numpy(), pdf["length"].to_numpy()
-            rank = before[at >> 33] + (at & ((1 << 33) - 1)) - start[length]
-            key = ((capacity - length) << 40) | rank
+            row, length = pdf[at].to_numpy(), pdf["length"].to_numpy()
+            rank = before[row >> 33] + (row & ((1 << 33) - 1)) - start[length]
+            key = ((capacity - length) << RANK_BITS) | rank
             run = np.searchsorted(keys, key, side="right") - 1
             out = pdf[names].copy()
             out["sequence_id"] = sequences[run] + (key - keys[run])

@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from silkgraph.llm import jaccard_join, language_id, license_scan, packing, quality_classifier, quality_rules, substring
@@ -120,22 +122,72 @@ def check_places(rows, capacity):
 def test_word_by_word_ids_are_the_tokenizers(text):
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(packing.tokenizer_path()).encode(text or "", add_special_tokens=False).ids
-    assert np.frombuffer(next(packing.WordIds(packing.tokenizer_path()).of([text])), "<u4").tolist() == plain
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    texts = [text, "a plain one, twice", None, text, "A PLAIN one,", ""]
+    ids, begin = packing.WordIds(packing.tokenizer_path()).of(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(begin)] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_of_other_tokenizers_and_of_forgotten_words(monkeypatch, documents):
+    from tokenizers import Tokenizer
+
+    known = packing.WordIds(packing.tokenizer_path())
+    known.ends[:] = False  # as with a tokenizer that doesn't mark the ends of words
+    monkeypatch.setattr(packing, "CACHE", 50)
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    texts = [t for t, _ in documents.values()][:40]
+    for some in (texts[:10], texts[10:], texts[:20]):
+        ids, begin = known.of(pa.array(some))
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(begin)] == [e.ids for e in tokenizer.encode_batch(some, add_special_tokens=False)]
+
+
+def best_fit_decreasing(lengths, capacity):
+    """Number of sequences, one document at a time."""
+    gaps = []
+    for x in sorted(lengths, reverse=True):
+        fit = min((g for g in gaps if g >= x), default=None)
+        if fit is None:
+            gaps.append(capacity - x)
+        else:
+            gaps[gaps.index(fit)] -= x
+    return len(gaps)
 
 
-def test_plan_is_best_fit_decreasing():
+def draws():
     rnd = random.Random(2)
-    for _ in range(30):
-        lengths = sorted((rnd.randrange(1, 65) for _ in range(rnd.randrange(1, 200))), reverse=True)
-        gaps = []
-        for x in lengths:
-            fit = min((g for g in gaps if g >= x), default=None)
-            if fit is None:
-                gaps.append(64 - x)
-            else:
-                gaps[gaps.index(fit)] -= x
-        assert packing.best_fit_plan(dict(collections.Counter(lengths)), 64)[3] == len(gaps)
+    for top in (64, 40, 24, 12, 3):
+        for _ in range(6):
+            yield [rnd.randrange(1, top + 1) for _ in range(rnd.randrange(1, 200))]
+
+
+def test_a_sweep_that_opens_sequences_is_best_fit_decreasing():
+    for lengths in draws():
+        places, waiting, _ = packing.sweep([(x, n, 0) for x, n in collections.Counter(lengths).items()], [], 64, 0)
+        assert not waiting and max(first for _, first, _ in places) < best_fit_decreasing(lengths, 64)
+        used = collections.Counter()
+        for _, first, offset in places:
+            used[first] += offset == 0
+        assert max(used.values()) == 1
+
+
+def test_sweep_uses_gaps_by_rank_and_leaves_the_rest():
+    places, waiting, gaps = packing.sweep([(10, 3, 5), (7, 2, 0)], [(11, 2, 100), (8, 1, 200)], 64, None)
+    key = lambda length, rank: ((64 - length) << packing.RANK_BITS) | rank
+    assert places == [(key(10, 5), 100, 53), (key(7, 0), 200, 56)]
+    assert (waiting, gaps) == ([(10, 1, 7), (7, 1, 1)], [(1, 2, 100), (1, 1, 200)])
+
+
+def test_packing_of_lengths(spark):
+    for lengths in [*list(draws())[::7], [64] * 5, [33] * 9 + [31] * 4 + [1] * 300, [2] * 1000]:
+        rows = [(i if i % 5 else None, 0, x, "mine", 7) for i, x in enumerate(lengths)]
+        df = spark.createDataFrame(rows, "doc_id long, piece int, length long, __at string, offset int").repartition(3)
+        out = packing.pack(df, 64)
+        assert out.columns == ["doc_id", "piece", "length", "__at", "sequence_id", "offset"]
+        placed = out.collect()
+        assert sorted(r["length"] for r in placed) == sorted(lengths) and {r["__at"] for r in placed} == {"mine"}
+        check_places(placed, 64)
+        best = best_fit_decreasing(lengths, 64)
+        assert len({r["sequence_id"] for r in placed}) <= best + max(1, best // 50)
 
 
 def brute_components(texts, k, num, den):
