@@ -23,6 +23,39 @@ def dot(a: Column, b: Column, term=lambda x, y: x * y, zero: Column | None = Non
     return F.aggregate(F.zip_with(a, b, term), F.lit(0).cast("bigint") if zero is None else zero, lambda acc, x: acc + x)
 
 
+def bit_length(x: Column) -> Column:
+    """Binary digits of a whole number's magnitude, 0 for 0; exact over all 64-bit numbers but the smallest."""
+    return F.when(x == 0, F.lit(0)).otherwise(F.length(F.bin(F.abs(x))))
+
+
+def root(x: Column) -> Column:
+    """Square root, null for negative numbers."""
+    return F.when(x >= 0, F.sqrt(x))
+
+
+def mat_vec(m: Column, v: Column) -> Column:
+    """Product of a matrix (an array of rows) and a vector, both of doubles."""
+    return F.transform(m, lambda row: dot(row, v, zero=F.lit(0.0)))
+
+
+def outer(a: Column, b: Column) -> Column:
+    """Outer product of two vectors, as an array of rows."""
+    return F.transform(a, lambda x: F.transform(b, lambda y: x * y))
+
+
+def transpose(m: Column) -> Column:
+    """Rows and columns exchanged; an empty matrix stays empty."""
+    n = F.coalesce(F.size(F.get(m, F.lit(0))), F.lit(0))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda j: F.transform(m, lambda row: F.get(row, j)))
+
+
+def mat_mul(a: Column, b: Column) -> Column:
+    """Product of two matrices of doubles."""
+    columns = transpose(b)
+    return F.transform(a, lambda row: F.transform(columns, lambda col: dot(row, col, zero=F.lit(0.0))))
+
+
 def gcd_all(values: list[int]) -> int:
     """Greatest common divisor of a model's coefficients (1 for none)."""
     from functools import reduce

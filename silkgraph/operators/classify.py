@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +113,61 @@ def logreg_predict(train: DataFrame, rows: DataFrame) -> DataFrame:
     return model.transform(vec(rows)).select("row_id", F.col("prediction").cast("int").alias("pred"))
 
 
+#: Rows that a sequential fit may collect: it takes the first rows of a table, in order.
+SGD_ROWS = 20_000
+
+
+def sgd_weights(x: np.ndarray, y: np.ndarray, batch: int, rate: float, passes: int, start: float, keep_gradient: bool) -> np.ndarray:
+    """Weights of a logistic model after batches taken in order; a last batch that is not full counts too.
+
+    With ``keep_gradient`` the gradient of a batch (a mean) is added to those
+    of all batches before, as momentum without decay; otherwise it is a sum.
+    """
+    w, g = np.full(x.shape[1], start), np.zeros(x.shape[1])
+    for _ in range(passes):
+        for at in range(0, len(x), batch):
+            a, b = x[at : at + batch], y[at : at + batch]
+            step = (1 / (1 + np.exp(-np.clip(a @ w, -500, 500))) - b) @ a
+            g = g + step / batch if keep_gradient else step
+            w = w - rate * g
+    return w
+
+
+def _prefix(train: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    if n > SGD_ROWS:
+        raise ValueError(f"a sequential fit takes at most {SGD_ROWS} rows")
+    rows = first_rows(train, n).select("row_id", "x", "label").orderBy("row_id").collect()
+    width = len(rows[0]["x"]) if rows else 0
+    return np.array([r["x"] for r in rows], float).reshape(len(rows), width), np.array([r["label"] for r in rows], float)
+
+
+def _doubles(values: np.ndarray) -> Column:
+    return F.lit([float(v) for v in values]).cast("array<double>") if len(values) else F.array().cast("array<double>")
+
+
+def sgd_predict(train: DataFrame, rows: DataFrame, n: int = 8000, batch: int = 8, rate: float = 0.00125, start: float = 0.25) -> DataFrame:
+    """``row_id, score, pred``: logistic regression without a bias, one pass over the first ``n`` rows in small batches; 1 from score 0 on."""
+    x, y = _prefix(train, n)
+    if not len(x):
+        return rows.select("row_id", F.lit(0.0).alias("score"), F.lit(1).alias("pred"))
+    w = sgd_weights(x, y, batch, rate, 1, start, False)
+    scored = rows.select("row_id", F.round(dot(F.col("x"), _doubles(w), zero=F.lit(0.0)), 9).alias("score"))
+    return scored.withColumn("pred", (F.col("score") >= 0).cast("int"))
+
+
+def zscore_sgd_predict(train: DataFrame, rows: DataFrame, n: int = 1900, batch: int = 32, rate: float = 0.4, passes: int = 2) -> DataFrame:
+    """``row_id, score, pred``: logistic regression with a bias on standardised features of the first ``n`` rows; gradients add up from batch to batch."""
+    x, y = _prefix(train, n)
+    if not len(x):
+        return rows.select("row_id", F.lit(0.0).alias("score"), F.lit(0).alias("pred"))
+    mean, scale = x.mean(0), np.sqrt(x.var(0))
+    scale[scale == 0] = 1.0
+    w = sgd_weights(np.column_stack([(x - mean) / scale, np.ones(len(x))]), y, batch, rate, passes, 0.0, True)
+    own = w[:-1] / scale
+    score = dot(F.col("x"), _doubles(own), zero=F.lit(0.0)) + F.lit(float(w[-1] - own @ mean))
+    return rows.select("row_id", F.round(score, 9).alias("score")).withColumn("pred", (F.col("score") > 0).cast("int"))
+
+
 def accuracy(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     """``n, n_right, accuracy``."""
     both = predictions.join(truth.select("row_id", "label"), "row_id")
@@ -129,5 +185,5 @@ def non_negative(rows: DataFrame) -> DataFrame:
 
 
 def first_rows(rows: DataFrame, n: int) -> DataFrame:
-    """The training sample of rows with ids below ``n``."""
+    """The training sample of the first ``n`` rows; ids are row numbers, as the readers give them."""
     return rows.where(F.col("row_id") < n)

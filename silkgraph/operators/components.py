@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silkgraph.sources.shared import materialize
+from silkgraph.sources.shared import materialize, remove
 
 MAX_ROUNDS = 60
 
@@ -36,7 +36,8 @@ def star_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = materialize(small.where("u <> v").distinct(), "edges")
+        last, e = e, materialize(small.where("u <> v").distinct(), "edges")
+        remove(last)
         now = _print(e)
         if now == before:
             break
@@ -61,55 +62,64 @@ def component_sizes(edges: DataFrame) -> DataFrame:
 
 
 def _spread_max(e: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, color``: the largest id that reaches each vertex within ``e``."""
+    """``id, color``: the largest id that reaches each vertex within ``e``.
+
+    A round follows edges and then jumps: what reaches a vertex's colour
+    reaches the vertex too. So colours travel twice as far with every round,
+    and a long path takes a number of rounds that is logarithmic in its length
+    where ids have no order along it.
+    """
     color = materialize(ids.select("id", F.col("id").alias("color")), "color")
     while True:
         sent = color.join(e, color.id == e.u).groupBy(e.v.alias("id")).agg(F.max("color").alias("got"))
-        new = materialize(color.join(sent, "id", "left").select("id", F.greatest("color", F.coalesce("got", "color")).alias("color"), (F.coalesce("got", "color") > F.col("color")).alias("moved")), "color")
-        if new.where("moved").isEmpty():
-            return new.select("id", "color")
-        color = new.select("id", "color")
+        step = color.join(sent, "id", "left").select("id", F.col("color").alias("was"), F.greatest("color", F.coalesce("got", "color")).alias("color"))
+        jump = step.join(color.select(F.col("id").alias("color"), F.col("color").alias("far")), "color", "left")
+        last, color = color, materialize(jump.select("id", F.greatest("color", F.coalesce("far", "color")).alias("color"), "was"), "color")
+        remove(last)
+        if color.where("color > was").isEmpty():
+            return color.select("id", "color")
+
+
+#: Rounds that take off vertices without incoming or outgoing edges before colours are spread.
+TRIMS = 3
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """``id, scc``: the smallest id of each vertex's strongly connected component.
 
-    Colouring: every vertex takes the largest id that reaches it; what reaches
-    a colour's root backwards within the colour is the root's component.
-    Vertices without incoming or outgoing edges are components of their own
-    and are taken off first, each round.
+    Vertices get a scattered number (a one-to-one hash of their id). Every
+    vertex takes the largest number that reaches it as its colour; those of a
+    colour that also reach it are a component. Edges between colours lie in no
+    component and go, and the rest of each colour goes on. Because numbers are
+    scattered, paths fall apart like a random search tree: rounds are
+    logarithmic in their length, not proportional to it.
     """
     all_ids = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
-    e = materialize(edges.where("u <> v").select("u", "v").distinct(), "scc")
+    e = materialize(edges.where("u <> v").select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v")).distinct(), "scc")
     found: DataFrame | None = None
-    while True:
-        n = e.count()
-        while True:
+    n = e.count()
+    while n:
+        for _ in range(TRIMS):
             e = materialize(e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v"), "scc")
-            m = e.count()
+            m, n = n, e.count()
             if m == n:
                 break
-            n = m
         if not n:
             break
-        color = materialize(_spread_max(e, e.select(F.col("u").alias("id")).distinct()), "colors")
+        color = materialize(_spread_max(e, e.select(F.col("u").alias("id")).union(e.select("v")).distinct()), "colors")
         cu, cv = color.select(F.col("id").alias("u"), F.col("color").alias("cu")), color.select(F.col("id").alias("v"), F.col("color").alias("cv"))
-        inside = materialize(e.join(cu, "u").join(cv, "v").where("cu = cv").select("u", "v", "cu"), "inside")
-        reached = materialize(color.where("id = color"), "reached")
-        front = reached
-        while True:
-            step = inside.join(front.select(F.col("id").alias("v")), "v").select(F.col("u").alias("id"), F.col("cu").alias("color")).distinct()
-            front = materialize(step.join(reached, "id", "left_anti"), "front")
-            if front.isEmpty():
-                break
-            reached = materialize(reached.unionByName(front), "reached")
-        label = reached.groupBy("color").agg(F.min("id").alias("scc"))
-        done = materialize(reached.join(label, "color").select("id", "scc"), "done")
+        inside = materialize(e.join(cu, "u").join(cv, "v").where("cu = cv").select("u", "v"), "inside")
+        back = _spread_max(inside.select(F.col("v").alias("u"), F.col("u").alias("v")), color.select("id"))
+        done = materialize(color.join(back.withColumnRenamed("color", "back"), "id").where("color = back").select(F.col("id").alias("p"), "color"), "done")
         found = done if found is None else found.unionByName(done)
-        e = materialize(e.join(done.select(F.col("id").alias("u")), "u", "left_anti").join(done.select(F.col("id").alias("v")), "v", "left_anti").select("u", "v"), "scc")
+        gone = done.select(F.col("p").alias("id"))
+        e = materialize(inside.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti").select("u", "v"), "scc")
+        n = e.count()
     if found is None:
         return all_ids.select("id", F.col("id").alias("scc"))
-    return all_ids.join(found, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
+    own = all_ids.withColumn("p", F.xxhash64("id")).join(found, "p", "left")
+    own = materialize(own.select("id", F.coalesce("color", "p").alias("color")), "scc-colors")
+    return own.join(own.groupBy("color").agg(F.min("id").alias("scc")), "color").select("id", "scc")
 
 
 def condensed_degrees(edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from silkgraph.functions.ranking import exclusive_sum, global_rank
 from silkgraph.functions.scalar import ratio_ok
-from silkgraph.sources.shared import materialize
+from silkgraph.sources.shared import materialize, remove
 
 
 def vertex_set(edges: DataFrame) -> DataFrame:
@@ -52,7 +52,8 @@ def topo_prune(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     e = materialize(edges, "prune")
     n = e.count()
     for _ in range(max_rounds):
-        e = materialize(e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select(*edges.columns), "prune")
+        last, e = e, materialize(e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select(*edges.columns), "prune")
+        remove(last)
         m = e.count()
         if m == n:
             return e

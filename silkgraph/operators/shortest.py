@@ -18,42 +18,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silkgraph.operators.graph import vertex_set
+from silkgraph.operators.rounds import least_values
 from silkgraph.sources.shared import materialize
 
 #: Edges that may be broadcast to the kernel.
-KERNEL_EDGES = 5_000_000
+KERNEL_EDGES = 2_000_000
 MAX_ROUNDS = 10_000
 
 
 def sssp(edges: DataFrame, source: int, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """``v, dist`` of every vertex that ``source`` reaches; a relaxation round is a join and a grouped minimum."""
-    spark = edges.sparkSession
-    e = materialize(edges.groupBy("u", "v").agg(F.min("w").alias("w")), "sp-edges")
-    best = materialize(spark.createDataFrame([(source, 0)], "v long, dist long"), "dist")
-    front = best
-    for _ in range(max_rounds):
-        tried = front.join(e, front.v == e.u).groupBy(e.v).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
-        better = materialize(tried.join(best, "v", "left").where("dist is null or new < dist").select("v", F.col("new").alias("dist")), "front")
-        if better.isEmpty():
-            return best
-        best = materialize(best.unionByName(better).groupBy("v").agg(F.min("dist").alias("dist")), "dist")
-        front = better
-    raise RuntimeError(f"distances still fall after {max_rounds} rounds")
-
-
-def all_distances(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """``s, v, dist`` for all sources."""
-    e = materialize(edges.groupBy("u", "v").agg(F.min("w").alias("w")), "sp-edges")
-    best = materialize(vertex_set(edges).select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).cast("long").alias("dist")), "dist")
-    front = best
-    for _ in range(max_rounds):
-        tried = front.join(e, front.v == e.u).groupBy("s", e.v).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
-        better = materialize(tried.join(best, ["s", "v"], "left").where("dist is null or new < dist").select("s", "v", F.col("new").alias("dist")), "front")
-        if better.isEmpty():
-            return best
-        best = materialize(best.unionByName(better).groupBy("s", "v").agg(F.min("dist").alias("dist")), "dist")
-        front = better
-    raise RuntimeError(f"distances still fall after {max_rounds} rounds")
+    """``v, dist`` of every vertex that ``source`` reaches; a round relaxes the edges of vertices that came nearer."""
+    start = edges.sparkSession.createDataFrame([(source, 0)], "v long, dist long")
+    return _relaxed(edges, start, ["v"], max_rounds)
+
+
+def all_distances(edges: DataFrame, max_rounds: int = MAX_ROUNDS, sources: DataFrame | None = None) -> DataFrame:
+    """``s, v, dist`` from all vertices, or from those of ``sources`` (``id``); a row per reached pair."""
+    ids = vertex_set(edges) if sources is None else sources.select("id").distinct()
+    start = ids.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).cast("long").alias("dist"))
+    return _relaxed(edges, start, ["s", "v"], max_rounds)
+
+
+def _relaxed(edges: DataFrame, start: DataFrame, keys: list[str], max_rounds: int) -> DataFrame:
+    e = materialize(edges.groupBy("u", "v").agg(F.min("w").alias("w")), "sp-edges").withColumnRenamed("v", "to")
+    others = [k for k in keys if k != "v"]
+    expand = lambda front: front.join(e, front.v == e.u).select(*others, F.col("to").alias("v"), (F.col("dist") + F.col("w")).alias("dist"))
+    return materialize(least_values(start, expand, keys, "dist", max_rounds), "dist")
+
+
+def reachable_counts(edges: DataFrame, sources: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """``id, n_reached``: other vertices that each vertex, or each of ``sources`` (``id``), reaches."""
+    hops = all_distances(edges.select("u", "v", F.lit(1).cast("long").alias("w")), max_rounds, sources)
+    return hops.groupBy(F.col("s").alias("id")).agg((F.count("*") - 1).alias("n_reached"))
 
 
 def _tight(edges: DataFrame, dist: DataFrame) -> DataFrame:
@@ -79,9 +75,9 @@ def _accumulate(start: DataFrame, step, keys: list[str], max_rounds: int) -> Dat
     return materialize(total.groupBy(*keys).agg(F.sum("c").alias("c")), "total")
 
 
-def path_counts(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """``s, v, dist, sigma``: distances and numbers of shortest paths between all pairs (amounts are positive)."""
-    dist = all_distances(edges, max_rounds)
+def path_counts(edges: DataFrame, max_rounds: int = MAX_ROUNDS, sources: DataFrame | None = None) -> DataFrame:
+    """``s, v, dist, sigma``: distances and numbers of shortest paths (amounts are positive) from all vertices, or from ``sources`` (``id``)."""
+    dist = all_distances(edges, max_rounds, sources)
     dag = materialize(_tight(edges, dist), "dag")
     start = dist.where("s = v").select("s", "v", F.lit(1.0).alias("c"))
     step = lambda f: f.withColumnRenamed("v", "u").join(dag, ["s", "u"]).groupBy("s", "v").agg(F.sum(F.col("c") * F.col("m")).alias("c"))
@@ -102,19 +98,50 @@ def betweenness_joins(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFra
     return vertex_set(edges).join(sums, "id", "left").select("id", F.coalesce("bc", F.lit(0.0)).alias("bc"))
 
 
-def betweenness_kernel(edges: DataFrame) -> DataFrame:
-    """``id, bc`` by one single-source run per vertex over broadcast arrays."""
+def folded_sources(head: np.ndarray, to: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``label, into``: sources folded into each vertex, and the vertex that it folds into itself (-1 for none).
+
+    Vertices that no cycle leads to are peeled in order; one of them with a
+    single edge out has the shortest paths of its successor, so it needs no
+    run of its own.
+    """
+    n = len(head) - 1
+    waits, label, into = np.bincount(to, minlength=n), np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    ready = np.flatnonzero(waits == 0).tolist()
+    while ready:
+        x = ready.pop()
+        out = to[head[x] : head[x + 1]]
+        if len(out) == 1 and m[head[x]] == 1:
+            into[x] = out[0]
+            label[out[0]] += label[x] + 1
+        for y in out.tolist():
+            waits[y] -= 1
+            if not waits[y]:
+                ready.append(y)
+    return label, into
+
+
+def betweenness_kernel(edges: DataFrame, fold: bool = True) -> DataFrame:
+    """``id, bc`` by one single-source run per vertex over broadcast arrays.
+
+    With ``fold``, vertices of :func:`folded_sources` have no runs: those of
+    the vertex they fold into count for them, and what the chain between adds
+    is a product of counts.
+    """
     spark = edges.sparkSession
     rows = edges.groupBy("u", "v", "w").agg(F.count("*").alias("m")).toPandas()
     ids = np.unique(np.concatenate([rows["u"].to_numpy(np.int64), rows["v"].to_numpy(np.int64)]))
     u, v = np.searchsorted(ids, rows["u"]), np.searchsorted(ids, rows["v"])
     order = np.argsort(u, kind="stable")
     head = np.concatenate([[0], np.cumsum(np.bincount(u, minlength=len(ids)))])
-    shared = spark.sparkContext.broadcast((ids, head, v[order], rows["w"].to_numpy(np.int64)[order], rows["m"].to_numpy(np.float64)[order]))
+    to, w, m = v[order], rows["w"].to_numpy(np.int64)[order], rows["m"].to_numpy(np.float64)[order]
+    label, into = folded_sources(head, to, m) if fold else (np.zeros(len(ids), np.int64), np.full(len(ids), -1, np.int64))
+    chained = np.flatnonzero((into >= 0) & (label > 0))
+    chained = chained[np.argsort(into[chained], kind="stable")]
+    shared = spark.sparkContext.broadcast((ids, head, to, w, m, label, chained, into[chained]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, head, to, w, m = shared.value
-        head, to, w, m = head.tolist(), to.tolist(), w.tolist(), m.tolist()
+        ids, head, to, w, m, label, chained, chained_to = shared.value
         total = np.zeros(len(ids))
         for pdf in batches:
             for s in pdf["id"].tolist():
@@ -127,26 +154,37 @@ def betweenness_kernel(edges: DataFrame) -> DataFrame:
                         continue
                     done.add(x)
                     order.append(x)
-                    for i in range(head[x], head[x + 1]):
-                        y, new = to[i], d + w[i]
+                    a, b = head[x], head[x + 1]
+                    for y, far, k in zip(to[a:b].tolist(), w[a:b].tolist(), m[a:b].tolist(), strict=True):
+                        new = d + far
                         old = dist.get(y)
                         if old is None or new < old:
-                            dist[y], sigma[y], before[y] = new, sigma[x] * m[i], [(x, m[i])]
+                            dist[y], sigma[y], before[y] = new, sigma[x] * k, [(x, k)]
                             heapq.heappush(heap, (new, y))
                         elif new == old:
-                            sigma[y] += sigma[x] * m[i]
-                            before[y].append((x, m[i]))
+                            sigma[y] += sigma[x] * k
+                            before[y].append((x, k))
                 delta = dict.fromkeys(order, 0.0)
+                times = 1 + int(label[s])
                 for y in reversed(order):
                     share = (1 + delta[y]) / sigma[y]
                     for x, k in before[y]:
                         delta[x] += sigma[x] * k * share
                     if y != s:
-                        total[y] += delta[y]
+                        total[y] += times * delta[y]
+                total[s] += int(label[s]) * (len(order) - 1)
+                chain = [(s, len(order) - 1)]
+                while chain:
+                    x, reached = chain.pop()
+                    for i in range(np.searchsorted(chained_to, x), np.searchsorted(chained_to, x, side="right")):
+                        y = int(chained[i])
+                        total[y] += int(label[y]) * (reached + 1)
+                        chain.append((y, reached + 1))
         some = np.flatnonzero(total)
         yield pd.DataFrame({"id": ids[some], "bc": total[some]})
 
-    sources = spark.range(len(ids)).repartition(spark.sparkContext.defaultParallelism * 2)
+    own = spark.createDataFrame(pd.DataFrame({"id": np.flatnonzero(into < 0)}), "id long") if len(ids) else spark.range(0)
+    sources = own.repartition(spark.sparkContext.defaultParallelism * 2)
     sums = sources.mapInPandas(run, "id long, bc double").groupBy("id").agg(F.sum("bc").alias("bc"))
     return vertex_set(edges).join(sums, "id", "left").select("id", F.coalesce("bc", F.lit(0.0)).alias("bc"))
 

@@ -136,3 +136,17 @@ for _n in range(5, 8):
     ORACLES[f"flow_cycles_len{_n}"] = cycles([_n], True, FLOW)
 ORACLES["flow_plain_cycles"] = cycles(range(3, 6), False, FLOW)
 ORACLES["sp_counts_all"] = SP_COUNTS.removesuffix(" where d.s in (select u from e)")
+
+RAW = "select l_suppkey u, l_partkey v, greatest(0, cast(floor(l_quantity - 100 * l_discount) as bigint)) w from lineitem where l_quantity <= 8"
+_ROUNDED = "x as (select vec_id, [cast(round(cast(v as double) * 100) as bigint) for v in embedding[1:6]] a from embeddings)"
+_BITS = "case when a[1] = 0 then 0 else length(bin(abs(a[1]))) end"
+ORACLES |= {
+    "transfers_in_id_range": f"select * from ({MULTI}) where u < 1000 and v < 1000",
+    "transfers_without_zero": f"select u, v, max(w) w from ({RAW}) where w > 0 and u <> v group by u, v",
+    "reachable_counts": f"with recursive e as ({EDGES}), n as ({ends()}), r as (select u a, v b from e union select r.a, e.v from r join e on e.u = r.b) select id, count(r.b) n_reached from n left join r on r.a = n.id and r.b <> n.id group by id",
+    "centroid_shortcut_predict": f"{CENTROID} select s.id row_id, score, cast(score < 0 or q.x >= 200 as integer) pred from s join q on q.id = s.id and q.d = 0",
+    "array_products": f"""with {_ROUNDED} select vec_id row_id, concat_ws(',', a[1] * a[1] + a[2] * a[2] + a[3] * a[3], a[4] * a[1] + a[5] * a[2] + a[6] * a[3]) product,
+  concat_ws(',', a[1] * a[3], a[1] * a[4], a[2] * a[3], a[2] * a[4]) "outer", concat_ws(',', a[1], a[4], a[2], a[5], a[3], a[6]) transposed,
+  concat_ws(',', a[1] * a[1] + a[2] * a[2] + a[3] * a[3], a[1] * a[4] + a[2] * a[5] + a[3] * a[6], a[1] * a[4] + a[2] * a[5] + a[3] * a[6], a[4] * a[4] + a[5] * a[5] + a[6] * a[6]) squared,
+  cast({_BITS} as integer) bits, round(case when a[1] >= 0 then sqrt(a[1]) end, 6) root from x""",
+}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from silkgraph.functions import scalar
 from silkgraph.functions.ranking import global_rank
 from silkgraph.operators import classify, components, cycles, generate, graph, shortest
 from silkgraph.plans.oracle import ORACLES
@@ -44,9 +45,8 @@ def _report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sp_counts(spark: SparkSession, sf: str) -> DataFrame:
-    counts = shortest.path_counts(src.transfers_multi(spark, sf).where("u <> v"))
-    suppliers = src.transfers_multi(spark, sf).where("u <> v").select(F.col("u").alias("s")).distinct()
-    return counts.join(suppliers, "s", "left_semi").select("s", "v", "dist", F.round("sigma", 3).alias("sigma"))
+    edges = src.transfers_multi(spark, sf).where("u <> v")
+    return shortest.path_counts(edges, sources=edges.select(F.col("u").alias("id"))).select("s", "v", "dist", F.round("sigma", 3).alias("sigma"))
 
 
 def _sp_counts_all(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,6 +54,18 @@ def _sp_counts_all(spark: SparkSession, sf: str) -> DataFrame:
     return counts.select("s", "v", "dist", F.round("sigma", 3).alias("sigma"))
 
 
+def _array_products(rows: DataFrame) -> DataFrame:
+    """Matrix helpers on the first six features as two rows of three, and the scalar functions beside them."""
+    x = F.transform(F.slice("x", 1, 6), lambda v: F.round(v * 100).cast("int").cast("double"))
+    m = F.array(F.slice("a", 1, 3), F.slice("a", 4, 3))
+    flat = lambda c: F.concat_ws(",", F.transform(F.flatten(c), lambda v: v.cast("long").cast("string")))
+    a, first = F.col("a"), F.col("a")[0].cast("long")
+    return rows.select("row_id", x.alias("a")).select(
+        "row_id", F.concat_ws(",", F.transform(scalar.mat_vec(m, F.slice(a, 1, 3)), lambda v: v.cast("long").cast("string"))).alias("product"), flat(scalar.outer(F.slice(a, 1, 2), F.slice(a, 3, 2))).alias("outer"),
+        flat(scalar.transpose(m)).alias("transposed"), flat(scalar.mat_mul(m, scalar.transpose(m))).alias("squared"), scalar.bit_length(first).cast("int").alias("bits"), F.round(scalar.root(first), 6).alias("root"),
+    )
+
+
 def _flat(spark: SparkSession, sf: str) -> DataFrame:
     return leaderboard.flatten(leaderboard.sample_documents(spark, sf)).withColumn("users", F.array_join("users", " "))
 
@@ -61,6 +73,8 @@ def _flat(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "transfers_scan": src.transfers_multi,
     "transfers_filtered": src.transfers,
+    "transfers_in_id_range": lambda spark, sf: src.in_id_range(src.transfers_multi(spark, sf), 1000),
+    "transfers_without_zero": lambda spark, sf: src.clean_edges(src.transfers_raw(spark, sf), positive=True),
     "vertex_set": on_edges(graph.vertex_set),
     "degrees": on_edges(graph.degrees),
     "twohop_cardinality": on_edges(graph.twohop_cardinality),
@@ -85,12 +99,14 @@ QUERIES: dict[str, Query] = {
     "scc_labels": on_edges(components.strong_components),
     "scc_condensed_degree": on_edges(components.condensed_degrees),
     "sssp_from_1": lambda spark, sf: shortest.sssp(src.transfers_multi(spark, sf), 1),
+    "reachable_counts": on_edges(shortest.reachable_counts),
     "sp_counts": _sp_counts,
     "sp_counts_all": _sp_counts_all,
     "betweenness_top100": lambda spark, sf: shortest.top_central(shortest.betweenness(src.transfers_multi(spark, sf).where("u <> v"))),
     "contracted_sources": on_edges(lambda e: graph.contracted_sources(e.select(F.col("v").alias("u"), F.col("u").alias("v")))),
     "centroids": on_features(classify.centroids),
     "centroid_predict": on_features(lambda f: classify.centroid_predict(f, f)),
+    "centroid_shortcut_predict": on_features(lambda f: classify.centroid_predict(f, f, shortcut=True)),
     "centroid_l1_predict": on_features(lambda f: classify.centroid_l1_predict(f, f)),
     "linear_quantile_predict": on_features(lambda f: classify.linear_quantile_predict(f, f)),
     "signed_sum_predict": on_features(lambda f: classify.signed_sum_predict(f, f).select("row_id", "pred")),
@@ -98,6 +114,9 @@ QUERIES: dict[str, Query] = {
     "predict_accuracy": on_features(lambda f: classify.accuracy(classify.centroid_predict(f, f), f)),
     "confusion": on_features(lambda f: classify.confusion(classify.centroid_predict(f, f), f)),
     "zscore_stats": on_features(classify.zscore_stats),
+    "array_products": on_features(_array_products),
+    "sgd_predict": on_features(lambda f: classify.sgd_predict(f, f)),
+    "zscore_sgd_predict": on_features(lambda f: classify.zscore_sgd_predict(f, f)),
     "logreg_predict": on_features(lambda f: classify.logreg_predict(f, f)),
     "leaderboard_flatten": _flat,
     "gen_planted": lambda spark, sf: generate.planted_components(spark),

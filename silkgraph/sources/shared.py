@@ -8,15 +8,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the session's ``spark.checkpoint.dir``.
+def shared_base(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, or the folder given to ``setCheckpointDir``.
 
-    Only where that is unset (local tests) a temporary folder takes its place.
+    Only a local session may have neither: a temporary folder takes its place.
+    On a cluster that would be another folder on each machine, so it's an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = f"file://{tempfile.gettempdir()}/silkgraph-shared"
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+        given = context._jsc.sc().getCheckpointDir()
+        base = given.get() if given.isDefined() else None
+    if base:
+        return base.rstrip("/")
+    if not is_local(context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"file://{tempfile.gettempdir()}/silkgraph-shared"
+
+
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def shared_dir(spark: SparkSession, tag: str) -> str:
+    """A fresh path below :func:`shared_base`."""
+    return f"{shared_base(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -27,12 +43,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
 
 
 def remove(df: DataFrame) -> None:
-    """Delete the files of a table that :func:`materialize` wrote and nothing reads any more."""
+    """Delete the files of a table that :func:`materialize` returned and nothing reads any more."""
     spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silkgraph.functions.ranking import global_rank
+from silkgraph.sources.shared import materialize
 
 
 def read_transfers(spark: SparkSession, path: str, columns: tuple[str, ...] = ("u", "v", "w")) -> DataFrame:
@@ -26,9 +27,26 @@ def read_weighted_graph(spark: SparkSession, path: str) -> tuple[DataFrame, int,
     return edges.withColumn("__i", first).where("__i > 0").drop("__i"), n, source
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``row_id, value``: the lines of a text, or of several in order of their names, numbered from 0.
+
+    Nothing is shuffled: lines carry their file, the start of their split and
+    their place in it, and only the splits' numbers of lines meet.
+    """
+    at = F.monotonically_increasing_id()
+    lines = materialize(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), at.alias("at")), "lines")
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("least"), F.count("*").alias("n")).orderBy("file", "block").collect()  # a row per split
+    before, total = [], 0
+    for r in splits:
+        before.append((r["file"], r["block"], total - r["least"]))
+        total += r["n"]
+    shift = F.broadcast(spark.createDataFrame(before, "file string, block long, shift long"))
+    return lines.join(shift, ["file", "block"]).select((F.col("at") + F.col("shift")).alias("row_id"), "value")
+
+
 def read_features(spark: SparkSession, path: str, labelled: bool = True) -> DataFrame:
-    """``row_id, x`` (and ``label``): lines of comma-separated decimals, the label last."""
-    cells = spark.read.text(path).select(F.monotonically_increasing_id().alias("row_id"), F.split(F.trim("value"), ",").alias("c"))
+    """``row_id, x`` (and ``label``): lines of comma-separated decimals, the label last; ``row_id`` is the line's number from 0."""
+    cells = numbered_lines(spark, path).select("row_id", F.split(F.trim("value"), ",").alias("c"))
     values = lambda c: F.transform(c, lambda x: x.cast("decimal(6,3)").cast("double"))
     if not labelled:
         return cells.select("row_id", values(F.col("c")).alias("x"))
@@ -39,6 +57,12 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
 
+def transfers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parallel transfers from suppliers to parts; the amount is what the discount leaves of a tenth, so some are zero."""
+    rows = lineitem(spark, sf_dir).where("l_quantity <= 8")
+    return rows.select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"), F.greatest(F.lit(0).cast("long"), F.floor(F.col("l_quantity") - 100 * F.col("l_discount")).cast("long")).alias("w"))
+
+
 def transfers_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parallel transfers from suppliers to parts, zero amounts dropped."""
     rows = lineitem(spark, sf_dir).where("l_quantity <= 8")
@@ -73,4 +97,5 @@ def clean_edges(edges: DataFrame, positive: bool = False) -> DataFrame:
 
 
 def in_id_range(edges: DataFrame, cap: int) -> DataFrame:
+    """Edges with both ends below ``cap``; null ends fall out."""
     return edges.where((F.col("u") < cap) & (F.col("v") < cap))

@@ -1,6 +1,6 @@
 import pytest
 
-from silkgraph.operators import components, cycles, generate, graph, shortest
+from silkgraph.operators import classify, components, cycles, generate, graph, shortest
 from silkgraph.sources import sinks, transfers
 from tests.helpers import brute_betweenness, brute_cycles, random_edges
 
@@ -32,10 +32,18 @@ def test_cycles_match_depth_first_search(spark, seed, ratio):
 
 
 def test_report_is_ordered_and_counted(spark, tmp_path):
-    out = str(tmp_path / "report")
-    sinks.write_cycle_report(cycles.cycles(frame(spark, CASE_A)), out)
-    lines = [r["value"] for r in spark.read.text(out).collect()]
-    assert sorted(lines) == sorted(["4", "1,2,3", "1,2,3,4", "1,2,3,4,5", "1,2,3,4,5,6"])
+    out = tmp_path / "report.txt"
+    more = [(u + 10, v + 10, w) for u, v, w in CASE_A] + [(u + 100, v + 100, w) for u, v, w in CASE_A]
+    found = cycles.cycles(frame(spark, CASE_A + more)).repartition(7)
+    for _ in range(2):  # an existing report is replaced
+        sinks.write_cycle_report(found, str(out))
+    lines = [tuple(x + d for x in c) for c in ((1, 2, 3), (1, 2, 3, 4), (1, 2, 3, 4, 5), (1, 2, 3, 4, 5, 6)) for d in (0, 10, 100)]
+    assert out.read_text().splitlines() == ["12", *[",".join(map(str, c)) for c in lines]]
+
+
+def test_empty_report(spark, tmp_path):
+    sinks.write_cycle_report(cycles.cycles(frame(spark, [])), str(tmp_path / "r"))
+    assert (tmp_path / "r").read_text() == "0\n"
 
 
 def test_empty_graph(spark):
@@ -47,10 +55,15 @@ def test_empty_graph(spark):
     assert graph.vertex_dense_rank(e).count() == 0
 
 
-@pytest.mark.parametrize("edges", [CASE_B, CASE_C, random_edges(5, 8, 20, 4), random_edges(6, 7, 30, 3)])
+CHAINS = [(1, 2, 3), (3, 2, 1), (2, 4, 2), (8, 1, 1), (9, 8, 5), (4, 5, 1), (4, 6, 1), (5, 7, 1), (6, 7, 1), (7, 4, 1), (7, 10, 2), (11, 4, 1), (11, 4, 1), (12, 11, 1)]
+
+
+@pytest.mark.parametrize("edges", [CASE_B, CASE_C, CHAINS, random_edges(5, 8, 20, 4), random_edges(6, 7, 30, 3)])
 def test_betweenness_both_ways(spark, edges):
     want = brute_betweenness(edges)
     e = frame(spark, edges)
+    positive = e.where("w > 0")
+    assert {r["id"]: round(r["bc"], 6) for r in shortest.betweenness_kernel(positive, fold=False).collect()} == want
     assert {r["id"]: round(r["bc"], 6) for r in shortest.betweenness(e).collect()} == want
     assert {r["id"]: round(r["bc"], 6) for r in shortest.betweenness(e, kernel_edges=0).collect()} == want
 
@@ -71,6 +84,32 @@ def test_components(spark):
     assert degrees == {1: (3, 0, 1), 4: (1, 1, 0), 5: (2, 0, 0), 8: (1, 0, 0)}
 
 
+@pytest.mark.parametrize("edges", [random_edges(12, 20, 28), [(i + 1, i, 1) for i in range(20)] + [(0, 10, 1)]])
+def test_strong_components_against_reachability(spark, edges):
+    ids = sorted({x for u, v, _ in edges for x in (u, v)})
+    reach = {x: {x} for x in ids}
+    for _ in ids:
+        for u, v, _ in edges:
+            reach[u] |= reach[v]
+    want = {x: min(y for y in reach[x] if x in reach[y]) for x in ids}
+    assert {r["id"]: r["scc"] for r in components.strong_components(frame(spark, edges)).collect()} == want
+    counts = {r["id"]: r["n_reached"] for r in shortest.reachable_counts(frame(spark, edges)).collect()}
+    assert counts == {x: len(reach[x]) - 1 for x in ids}
+
+
+def test_distances_of_long_paths_and_some_sources(spark):
+    e = frame(spark, [(i, i + 1, 2) for i in range(20)] + [(0, 5, 3), (5, 0, 1)])
+    want = {v: 2 * v if v < 5 else 3 + 2 * (v - 5) for v in range(21)}
+    assert {r["v"]: r["dist"] for r in shortest.sssp(e, 0).collect()} == want
+    some = shortest.path_counts(e, sources=spark.createDataFrame([(0,), (0,), (18,)], "id long")).collect()
+    assert {(r["s"], r["v"]): r["dist"] for r in some} == {(0, v): d for v, d in want.items()} | {(18, 18): 0, (18, 19): 2, (18, 20): 4}
+
+
+def test_a_hub_with_very_many_transfers(spark):
+    edges = [(0, i, 10) for i in range(1, 300)] + [(i, 300 + i % 3, 10) for i in range(1, 300)] + [(300, 0, 10), (301, 0, 1)]
+    assert paths(cycles.cycles(frame(spark, edges), ratio=True)) == brute_cycles(edges, True)
+
+
 def test_contraction_folds_chains(spark):
     e = frame(spark, [(1, 3, 1), (2, 3, 1), (3, 4, 1), (4, 5, 1), (4, 6, 1)])
     assert {r["id"]: r["label"] for r in graph.contracted_sources(e).collect()} == {1: 0, 2: 0, 3: 2}
@@ -88,10 +127,36 @@ def test_text_sources(spark, tmp_path):
     assert sinks.distance_line(dist, n).first()["line"] == "0 5 11 2147483647"
     f = tmp_path / "f.csv"
     f.write_text("0.123,-0.456,1\n0.290,0.001,0\n")
+    assert transfers.in_id_range(frame(spark, [(1, 2, 3), (1, 50, 3), (50, 1, 3)]), 50).count() == 1
     got = transfers.read_features(spark, str(f)).orderBy("row_id").collect()
     assert [(r["x"], r["label"]) for r in got] == [([0.123, -0.456], 1), ([0.29, 0.001], 0)]
 
 
+def test_row_numbers_over_files_and_splits(spark, tmp_path):
+    for name, n in (("b", 700), ("a", 5), ("c", 0), ("d", 40)):
+        (tmp_path / f"{name}.csv").write_text("".join(f"0.{i:03d},0.5,{i % 2}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = transfers.read_features(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [i / 1000 for n in (5, 700, 40) for i in range(n)]
+    assert [r["x"][0] for r in sorted(got, key=lambda r: r["row_id"])] == want and sorted(r["row_id"] for r in got) == list(range(745))
+    sample = classify.first_rows(transfers.read_features(spark, str(tmp_path)), 8).collect()
+    assert sorted(r["x"][0] for r in sample) == sorted(want[:8])
+    rows = spark.createDataFrame([(r["row_id"], r["label"]) for r in got], "row_id long, pred int").repartition(5)
+    sinks.write_labels(rows, str(tmp_path / "labels.txt"))
+    assert (tmp_path / "labels.txt").read_text().split() == [str(i % 2) for n in (5, 700, 40) for i in range(n)]
+    assert transfers.numbered_lines(spark, str(tmp_path / "c.csv")).count() == 0
+
+
+def test_ranking_file(spark, tmp_path):
+    sinks.write_ranking(shortest.betweenness(frame(spark, CASE_B)), str(tmp_path / "top.txt"), 4)
+    assert (tmp_path / "top.txt").read_text() == "40,5.667\n10,5.000\n50,5.000\n20,3.667\n"
+    sinks.write_distances(shortest.sssp(frame(spark, [(1, 2, 5)]), 1), 3, str(tmp_path / "d.txt"))
+    assert (tmp_path / "d.txt").read_text() == "0 5 2147483647\n"
+
+
 def test_generators_repeat(spark):
     for make in (lambda: generate.planted_components(spark, 200, 500), lambda: generate.small_world(spark, 100, 4), lambda: generate.tree_with_cliques(spark, 900, band=20)):
         a, b = sorted(map(tuple, make().collect())), sorted(map(tuple, make().repartition(7).collect()))
