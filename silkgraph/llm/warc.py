@@ -1,8 +1,10 @@
 """Deterministic sharded WARC writer and reader.
 
 Records are range-sorted by id into shards of about equal size; a shard is a
-function of the data alone. A task writes a shard's records in order, each its
-own gzip member, and rolls to a new file beyond a compressed size. Files are
+function of the data alone. Ranges of ids are cut until each fits a shard, and
+a single id (or the rows without one) that doesn't is cut by digest. A task
+writes a shard's records in order, each its own gzip member, and rolls to a
+new file beyond a compressed size. Files are
 written under a temporary name and renamed; the manifest that Spark commits
 lists the files of the successful attempts, and readers trust it alone. A
 repeated attempt writes the same bytes under the same name again.
@@ -17,18 +19,19 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silkgraph.llm.common import shared_dir, table
+from silkgraph.llm.common import materialize, shared_dir, table
 
 #: Payloads of this many bytes or more are stored once.
 MIN_REVISIT = 1000
-#: Compressed bytes after which a file is closed; payload bytes for a shard.
-ROLL_BYTES, SHARD_BYTES = 64 << 20, 32 << 20
-#: Ranges of ids whose bytes are summed to lay out shards.
+#: Compressed bytes after which a file is closed, and that a task reads; payload bytes for a shard, and the most shards: beyond them shards grow, and roll.
+ROLL_BYTES, READ_BYTES, SHARD_BYTES, MAX_SHARDS = 64 << 20, 64 << 20, 32 << 20, 1 << 16
+#: Ranges of ids whose bytes are summed at once.
 RANGES = 4096
 #: The capture time isn't in the data; records carry this one.
 DATE = "1970-01-01T00:00:00Z"
@@ -115,41 +118,97 @@ def parse(data: bytes) -> dict:
     }
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """``page_id, digest, refers_to, refers_url`` of the records that another one stands for.
+def payload_of(html: str):
+    return F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
+
+
+def index(pages: DataFrame) -> DataFrame:
+    """``page_id, url, digest, bytes`` per row of ``pages``: what layout and revisits need, without payloads."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload_of("html").alias("payload"))
+    return rows.select("page_id", "url", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("bytes"))
+
+
+def revisits(rows: DataFrame) -> DataFrame:
+    """``page_id, digest, refers_to, refers_url`` of the records that another one stands for, from :func:`index`.
 
     Of equal payloads of ``MIN_REVISIT`` bytes or more the record with the
     largest id is the response; repeated rows of that id are responses too, and
-    so are rows without id, which nothing refers to. Payloads don't travel.
+    so are rows without id, which nothing refers to.
     """
-    rows = pages.where("page_id is not null").select("page_id", "url", payload_of("html").alias("payload")).where(F.octet_length("payload") >= MIN_REVISIT)
-    large = rows.select("page_id", "url", F.sha1("payload").alias("digest"))
+    large = rows.where("page_id is not null").where(F.col("bytes") >= MIN_REVISIT)
     first = large.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "top")
     found = large.select("page_id", "digest").join(first, "digest").where("page_id < top.page_id")
     return found.select("page_id", "digest", F.col("top.page_id").alias("refers_to"), F.col("top.url").alias("refers_url")).distinct()
 
 
-def payload_of(html: str):
-    return F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
+class Layout:
+    """Shards of rows by id and the head of their digest (32 bits).
 
+    ``starts`` are the first ids of ranges, ascending; a range's rows go to
+    ``parts`` shards from ``first`` on, by digest. Rows without id are the
+    first range.
+    """
 
-def layout(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[int, int, list[int]]:
-    """Smallest id, ids in a range, and the shard of each of at most ``RANGES`` equal ranges of ids."""
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return 0, 1, [0]
-    width = max(1, -(-(high - low + 1) // RANGES))
-    size = F.coalesce(F.octet_length("html"), F.lit(0)) + 512
-    cell = F.floor((F.col("page_id") - low) / width)
-    sums = dict(pages.where("page_id is not null").groupBy(cell.alias("c")).agg(F.sum(size)).collect())
-    shards, shard, held = [], 0, 0
-    for c in range((high - low) // width + 1):
-        n = sums.get(c, 0)
-        if held and held + n > shard_bytes:
-            shard, held = shard + 1, 0
-        held += n
-        shards.append(shard)
-    return low, width, shards
+    def __init__(self, rows: DataFrame, shard_bytes: int):
+        size = F.col("bytes") + 512
+        none = F.col("page_id").isNull()
+        r = rows.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.sum(size).alias("all"), F.sum(F.when(none, size)).alias("none")).first()
+        self.limit = max(shard_bytes, -(-(r["all"] or 0) // MAX_SHARDS))
+        ranges: list[tuple[int, int, int]] = []  # first id, id after the last, bytes
+        heavy = [] if r["low"] is None else [(r["low"], r["high"] + 1)]
+        while heavy:  # cut what doesn't fit a shard, all at once
+            cuts = max(2, RANGES // len(heavy))
+            edges = np.array([lo + (hi - lo) * j // cuts for lo, hi in heavy for j in range(cuts)], object)
+            starts, ends = edges.astype(np.int64), [hi for lo, hi in heavy for _ in range(cuts)]
+            low, high = np.array([lo for lo, _ in heavy], np.int64), np.array([hi - 1 for _, hi in heavy], np.int64)
+            cell = F.pandas_udf(_cells(low, high, starts), "long")
+            sums = rows.where("page_id is not null").groupBy(cell("page_id").alias("c")).agg(F.sum(size).alias("n")).where("c >= 0").collect()
+            heavy = []
+            for c, n in sorted((x["c"], x["n"]) for x in sums):
+                lo, hi = int(starts[c]), ends[c] if (c + 1) % cuts == 0 else int(starts[c + 1])
+                if n > self.limit and hi - lo > 1:
+                    heavy.append((lo, hi))
+                else:
+                    ranges.append((lo, hi, n))
+        shard, held, started = 0, 0, False
+        self.none_parts = -(-r["none"] // self.limit) if r["none"] else 0
+        shard = self.none_parts
+        starts, first, parts = [], [], []
+        for lo, _, n in sorted(ranges):
+            if started and held + n > self.limit:
+                shard, held = shard + last, 0
+            starts.append(lo)
+            first.append(shard)
+            last = max(1, -(-n // self.limit))
+            parts.append(last)
+            held, started = held + n, True
+        self.starts, self.first, self.parts = (np.array(x, np.int64) for x in (starts, first, parts))
+        self.shards = max(1, shard + (parts[-1] if parts else 0))
+
+    def column(self, page_id: str, digest: str):
+        """The shard of a row."""
+        starts, first, parts, none_parts = self.starts, self.first, self.parts, self.none_parts
+
+        def run(ids: pd.Series, missing: pd.Series, head: pd.Series) -> pd.Series:
+            if not len(starts):
+                return (head * none_parts) >> 32
+            at = np.maximum(0, np.searchsorted(starts, ids.to_numpy(), side="right") - 1)
+            own = first[at] + ((head.to_numpy() * parts[at]) >> 32)
+            return pd.Series(np.where(missing.to_numpy(bool), (head.to_numpy() * none_parts) >> 32, own))
+
+        head = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+        return F.pandas_udf(run, "long")(F.coalesce(F.col(page_id).cast("long"), F.lit(0).cast("long")), F.col(page_id).isNull(), head).cast("int")
+
+
+def _cells(low: np.ndarray, high: np.ndarray, starts: np.ndarray):
+    """Number of the cut of a heavy range that an id is in, or -1."""
+
+    def run(ids: pd.Series) -> pd.Series:
+        x = ids.to_numpy()
+        at = np.maximum(0, np.searchsorted(low, x, side="right") - 1)
+        return pd.Series(np.where((x >= low[at]) & (x <= high[at]), np.searchsorted(starts, x, side="right") - 1, -1))
+
+    return run
 
 
 def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -161,15 +220,14 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll
     folder shared by all executors; extra columns aren't stored.
     """
     spark = pages.sparkSession
-    low, width, shards = layout(pages, shard_bytes)
-    cell = F.floor((F.col("page_id") - low) / width).cast("int")
-    shard = F.coalesce(F.get(F.lit(shards), cell), F.lit(0))
+    narrow = materialize(index(pages), "index")
+    layout = Layout(narrow, shard_bytes)
     payload = payload_of("html")
-    records = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("refers_to"), F.lit(1).alias("kind"))
+    records = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).select("*", F.sha1("payload").alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind"))
     # a revisit's link comes right before the record it is for: payloads are shuffled once
-    links = revisits(pages).select("page_id", F.col("refers_url").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to", F.lit(0).alias("kind"))
-    rows = records.unionByName(links).withColumn("shard", shard)
-    placed = rows.repartitionByRange(shards[-1] + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "kind", "digest", "url")
+    links = revisits(narrow).select("page_id", F.col("refers_url").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to", F.lit(0).alias("kind"))
+    rows = records.unionByName(links).withColumn("shard", layout.column("page_id", "digest"))
+    placed = rows.repartitionByRange(layout.shards, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "kind", "digest", "url")
     target = path.rstrip("/")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,11 +276,16 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll
     return spark.read.schema(MEMBER).parquet(f"{target}/{MANIFEST}")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all files in the manifest of ``path``; any damage is an error."""
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """Records of all files in the manifest of ``path``; any damage is an error. Without ``payloads`` those are checked but not returned.
+
+    A task reads about ``READ_BYTES``, or a file.
+    """
     target = path.rstrip("/")
     listed = spark.read.schema(MEMBER).parquet(f"{target}/{MANIFEST}")
-    files = listed.repartition(max(1, listed.count()), "file")
+    files, size = listed.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = min(files, max(-(-size // READ_BYTES), spark.sparkContext.defaultParallelism))
+    dealt = listed.repartition(max(1, tasks))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = fs.FileSystem.from_uri(target)
@@ -233,7 +296,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows, n, held = [], 0, 0
                 with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for data in members(stream):
-                        rows.append(parse(data))
+                        rows.append(parse(data) if payloads else parse(data) | {"payload": None})
                         n, held = n + 1, held + len(data)
                         if held > 8 << 20:
                             yield frame(rows)
@@ -242,14 +305,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError(f"{name} has {n} records, the manifest says {records}")
                 yield frame(rows)
 
-    return files.select("file", "records").mapInPandas(read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return dealt.select("file", "records").mapInPandas(read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages, read the archives back and return what they say."""
     path = shared_dir(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
-    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
