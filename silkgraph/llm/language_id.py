@@ -1,7 +1,7 @@
 """Language identification with a bit-sliced Bloom filter of n-grams.
 
 The filter is one array of slots; a slot's bit ``l`` belongs to language
-``l``. The AND of an n-gram's slots is the mask of all languages that contain
+``l``, and a slot has as many words of 64 bits as the languages need. The AND of an n-gram's slots is the mask of all languages that contain
 it (or seem to). A text's score per language is the number of its n-grams with
 that bit, less the number that false positives would give.
 """
@@ -55,21 +55,23 @@ def slots_of(gram: str) -> list[int]:
 
 
 class Filter:
-    """The fitted filter: ``langs``, ``slots`` (uint64 masks) and the false-positive rate of each language."""
+    """The fitted filter: ``langs``, ``slots`` (rows of uint64 words of a mask) and the false-positive rate of each language."""
 
     def __init__(self, langs: list[str], grams: dict[str, int]):
-        self.langs, self.slots = langs, np.zeros(SLOTS, np.uint64)
+        words = max(1, -(-len(langs) // 64))
+        self.langs, self.slots = langs, np.zeros((SLOTS, words), "<u8")
         for gram, mask in grams.items():
+            own = np.frombuffer(mask.to_bytes(8 * words, "little"), "<u8")
             for s in slots_of(gram):
-                self.slots[s] |= np.uint64(mask)
-        fill = [float(((self.slots >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(langs))]
+                self.slots[s] |= own
+        fill = [float(((self.slots[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(langs))]
         self.false_rate = np.array([f**HASHES for f in fill])
 
     def languages(self, gram: str) -> int:
         """Mask of the languages that contain the n-gram, or seem to."""
         mask = ~0
         for s in slots_of(gram):
-            mask &= int(self.slots[s])
+            mask &= int.from_bytes(self.slots[s].tobytes(), "little")
         return mask
 
 
@@ -109,13 +111,11 @@ def fit(docs: DataFrame, limit: int = FIT_DOCS) -> Filter:
 
     Learns from at most about ``limit`` documents of each language: those
     whose text has a hash below a threshold set from the language's count, so
-    neither order nor partitioning matters. At most 64 languages.
+    neither order nor partitioning matters. Any number of languages.
     """
     known = docs.where("text is not null and lang is not null").select("lang", "text")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
-    if len(langs) > 64:
-        raise ValueError("a mask has 64 bits, one for each language")
     if not langs:
         return Filter([], {})
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, limit / counts[k]))])
@@ -140,10 +140,12 @@ def fit(docs: DataFrame, limit: int = FIT_DOCS) -> Filter:
     if not words:
         return Filter(langs, {})
     least = F.create_map(*[F.lit(x) for k, n in words.items() for x in (k, max(2.0, MIN_SHARE * n))])
-    bit = F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, 1 << i if i < 63 else -(1 << 63))])
+    own = [langs[i : i + 64] for i in range(0, len(langs), 64)]
+    bits = [F.create_map(*[F.lit(x) for i, k in enumerate(some) for x in (k, 1 << i if i < 63 else -(1 << 63))]) for some in own]
     # at most 1 / MIN_SHARE n-grams of each length and language pass
-    masks = total.where((F.col("gram") != "") & (F.col("n") >= least[F.col("lang")])).groupBy("gram").agg(F.bit_or(bit[F.col("lang")]).alias("mask"))
-    return Filter(langs, {r["gram"]: r["mask"] & (2**64 - 1) for r in masks.collect()})
+    passing = total.where((F.col("gram") != "") & (F.col("n") >= least[F.col("lang")]))
+    masks = passing.groupBy("gram").agg(*[F.coalesce(F.bit_or(bit[F.col("lang")]), F.lit(0)).alias(f"m{j}") for j, bit in enumerate(bits)])
+    return Filter(langs, {r["gram"]: sum((r[f"m{j}"] & (2**64 - 1)) << (64 * j) for j in range(len(bits))) for r in masks.collect()})
 
 
 def predict(docs: DataFrame, model: Filter) -> DataFrame:
