@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silkgraph.llm.common import materialize, table
+from silkgraph.llm.common import broadcast_if_small, materialize, table, unused
 
 #: Words of a window, the shortest repeat that counts, and of a seed.
 W, K = 50, 16
@@ -39,6 +39,8 @@ W, K = 50, 16
 CACHE = 1_000_000
 #: Windows per batch that are sent on together.
 BATCH_ROWS = 400_000
+#: Documents whose ids may be broadcast, so that only their texts are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 REMOVE, CHECK = 0, 1
 MASK32 = np.uint64(0xFFFFFFFF)
@@ -239,16 +241,18 @@ def join_sorted(rows: DataFrame, extend: bool) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, th, start, n``: ``n`` windows from ``start`` on repeat those of smaller documents."""
     found = materialize(join_sorted(seeds(docs), True), "segments")
-    checks = found.where(F.col("kind") == CHECK).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("segs"))
-    texts = identified(docs).dropDuplicates(["doc_id", "th"]).join(checks, ["doc_id", "th"])
+    checks = materialize(found.where(F.col("kind") == CHECK).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("segs")), "checks")
+    few = broadcast_if_small(checks.select("doc_id", "th"), BROADCAST_ROWS)  # beyond it the join below shuffles all texts
+    texts = identified(docs).join(few, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"]).join(checks, ["doc_id", "th"])
     extended = join_sorted(windows(texts), False)
     return found.where(F.col("kind") == REMOVE).unionByName(extended).select("doc_id", "th", "start", "n")
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` and ``__spans``, an array of ``(start, n)`` windows to remove, or null."""
-    spans = repeats(docs).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
-    return docs.join(spans, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left").drop("__id", "__th")
+def with_spans(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with an array of ``(start, n)`` windows to remove, or null, and the name of that column."""
+    id_, th, name = (unused(docs, x) for x in ("id", "th", "spans"))
+    spans = repeats(docs).groupBy(F.col("doc_id").alias(id_), F.col("th").alias(th)).agg(F.collect_list(F.struct("start", "n")).alias(name))
+    return docs.join(spans, (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64("text") == F.col(th)), "left").drop(id_, th), name
 
 
 def cut(text: str | None, spans) -> tuple[list[bytes], list[bytes]]:
@@ -276,14 +280,15 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for text, spans in zip(pdf["text"], pdf["__spans"], strict=True):
+            for text, spans in zip(pdf["text"], pdf[name], strict=True):
                 words, kept = cut(text, spans)
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
             yield out.astype({"doc_id": "Int64"})
 
-    return with_spans(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    marked, name = with_spans(docs.select("doc_id", "text"))
+    return marked.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -298,13 +303,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = batch.schema.field("text").type
-            texts, spans = batch["text"].to_pylist(), batch["__spans"].to_pylist()
+            texts, spans = batch["text"].to_pylist(), batch[name].to_pylist()
             cuts = [b" ".join(cut(t, s)[1]).decode() if s else t for t, s in zip(texts, spans, strict=True)]
             keep = pa.array([not s or t != "" for t, s in zip(cuts, spans, strict=True)], pa.bool_())
             cols = [pa.array(cuts, kind) if name == "text" else batch[name] for name in schema.names]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names).filter(keep)
 
-    return with_spans(docs).mapInArrow(run, schema)
+    marked, name = with_spans(docs)
+    return marked.mapInArrow(run, schema)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
