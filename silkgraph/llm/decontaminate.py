@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silkgraph.llm.common import ascii_lower, broadcast_if_small, norm_words, small_enough, table
+from silkgraph.llm.common import broadcast_if_small, materialize, norm_words, table, unused
 
 NGRAM = 10
 #: Rows of benchmark windows, or of flagged documents, that may be broadcast.
@@ -33,8 +33,8 @@ def benchmark_windows(benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     return grouped.select(F.size("win").alias("b_len"), "b_items", *cells).withColumn("b_key", F.xxhash64("b_len", *[f"b{i}" for i in range(n)]))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_words, hits, items``.
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per row of ``docs``: ``keys``, ``n_words, hits, items``.
 
     ``hits`` are the ``(pos, len)`` of windows in order of position, ``items``
     the distinct ids (as strings, sorted) whose windows occur. Null or empty
@@ -43,11 +43,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFram
     """
     windows = benchmark_windows(benchmark, n)
     lengths = sorted(r[0] for r in windows.select("b_len").distinct().collect()) or [n]
-    words = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), norm_words(F.col("text")).alias("w"))
+    words = docs.select(*keys, F.monotonically_increasing_id().alias("rid"), norm_words(F.col("text")).alias("w"))
     ahead = [F.col("w"), *[F.slice("w", F.lit(i + 1), F.size("w")) for i in range(1, n)]]
-    rows = words.select("doc_id", "rid", F.size("w").alias("n_words"), F.posexplode_outer(F.arrays_zip(*ahead)).alias("pos", "z"))
+    rows = words.select(*keys, "rid", F.size("w").alias("n_words"), F.posexplode_outer(F.arrays_zip(*ahead)).alias("pos", "z"))
     zipped = rows.schema["z"].dataType.fieldNames()
-    rows = rows.select("doc_id", "rid", "n_words", "pos", *[F.col("z").getField(f).alias(f"w{i}") for i, f in enumerate(zipped)])
+    rows = rows.select(*keys, "rid", "n_words", "pos", *[F.col("z").getField(f).alias(f"w{i}") for i, f in enumerate(zipped)])
 
     def key(k: int):
         used = [F.col(f"w{i}") for i in range(k)] + [F.lit(None).cast("string")] * (n - k)
@@ -64,7 +64,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFram
     found = rows.join(broadcast_if_small(windows, BROADCAST_ROWS), (F.col("key") == F.col("b_key")) & (F.col("len") == F.col("b_len")) & equal, "left")
     kept = found.where(F.col("b_len").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0))
     hit = F.when(F.col("b_len").isNotNull(), F.struct("pos", F.col("b_len").alias("len")))
-    return kept.groupBy("rid", "doc_id").agg(
+    return kept.groupBy("rid", *keys).agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(hit)).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("b_items")))).alias("items")
     )
 
@@ -96,22 +96,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> Data
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, mode: str = "documents") -> DataFrame:
     """``docs`` without contaminated documents or spans; all columns stay.
 
-    ``mode="documents"`` drops documents with a hit, by ``doc_id``; rows with
-    null ids stay. ``mode="spans"`` cuts the words of hits, with what stands
-    between them and the next word, out of ``text``.
+    ``mode="documents"`` drops the rows with a hit. ``mode="spans"`` cuts the
+    words of hits, with what stands between them and the next word, out of
+    ``text``. A row is known by its id and its text, so of rows with one id, or
+    without any, only those go, or are cut, whose own text has a hit.
     """
-    if mode == "documents":
-        flagged = find_hits(docs, benchmark, n).where(F.size("hits") > 0).select(F.col("doc_id").alias("__bad")).where("__bad is not null").distinct()
-        return docs.join(broadcast_if_small(flagged, BROADCAST_ROWS), F.col("doc_id") == F.col("__bad"), "left_anti")
-    if mode != "spans":
+    if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}")
-    spans = find_hits(docs, benchmark, n).where(F.size("hits") > 0).groupBy(F.col("doc_id").alias("__id")).agg(F.first("hits").alias("__hits"))
-    joined = docs.join(F.broadcast(spans) if small_enough(spans, BROADCAST_ROWS // 100) else spans, F.col("doc_id") == F.col("__id"), "left")
+    own = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    id_, th, hits = (unused(docs, x) for x in ("id", "th", "hits"))
+    found = find_hits(own, benchmark, n, ("doc_id", "th")).where(F.size("hits") > 0)
+    flagged = materialize(found.groupBy(F.col("doc_id").alias(id_), F.col("th").alias(th)).agg(F.any_value("hits").alias(hits)), "flagged")  # rows of a group have one text
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(th))
+    if mode == "documents":
+        return docs.join(broadcast_if_small(flagged.drop(hits), BROADCAST_ROWS), same, "left_anti")
+    joined = docs.join(broadcast_if_small(flagged, BROADCAST_ROWS // 100), same, "left")
     piece = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     pieces = F.regexp_extract_all("text", F.lit(piece), F.lit(0))
     lead = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    kept = F.filter(pieces, lambda p, i: ~F.exists("__hits", lambda h: (i >= h["pos"]) & (i < h["pos"] + h["len"])))
-    return joined.withColumn("text", F.when(F.col("__hits").isNotNull(), F.concat(lead, F.array_join(kept, ""))).otherwise(F.col("text"))).select(*docs.columns)
+    kept = F.filter(pieces, lambda p, i: ~F.exists(hits, lambda h: (i >= h["pos"]) & (i < h["pos"] + h["len"])))
+    return joined.withColumn("text", F.when(F.col(hits).isNotNull(), F.concat(lead, F.array_join(kept, ""))).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silkgraph.llm.common import LOWER, UPPER, broadcast_if_small, materialize, norm_words, table
+from silkgraph.llm.common import LOWER, UPPER, broadcast_if_small, materialize, norm_words, table, unused
 
 #: Labelled documents that the models are fitted on: about this many, those with the smallest hashes of their id.
 FIT_DOCS = 6000
@@ -252,9 +252,14 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """``docs`` without the rows that :func:`classify` rejects; all columns stay."""
-    good = classify(docs, labels, host, path).where("kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left_semi")
+    """``docs`` without the rows that :func:`classify` rejects; all columns stay.
+
+    A row stays if a row of its id and text is kept: equal texts of one id on
+    different sites stay or go together. Texts without words always go.
+    """
+    id_, th = unused(docs, "id"), unused(docs, "th")
+    good = classify(docs, labels, host, path).where("kept").select(F.col("doc_id").alias(id_), F.col("th").alias(th)).distinct()
+    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(th)), "left_semi")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
