@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silkgraph.sources.shared import materialize, shared_dir
 
-__all__ = ["ascii_lower", "broadcast_if_small", "materialize", "norm_words", "shared_dir", "small_enough", "table", "unused"]
+__all__ = ["ascii_lower", "broadcast_if_small", "materialize", "norm_words", "shared_dir", "small_enough", "table", "text_blocks", "unused", "word_codes"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -49,3 +54,35 @@ def unused(df: DataFrame, name: str) -> str:
     while name in taken:
         name += "_"
     return name
+
+
+#: Bytes of text (one document at least) that are split into words together.
+BLOCK_BYTES = 8 << 20
+
+
+def text_blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with at most ``BLOCK_BYTES`` in all, or one text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(size, BLOCK_BYTES + (size[at - 1] if at else 0), side="right")))
+        yield at, end
+        at = end
+
+
+def word_codes(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words between ASCII white space, the code of each word of all texts, and where each text's begin (and the last one's end).
+
+    Null texts have no words.
+    """
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = split.flatten().dictionary_encode()
+    begin = split.offsets.to_numpy().astype(np.int64)
+    begin = begin - begin[0]
+    codes = coded.indices.to_numpy()
+    blank = pc.index(coded.dictionary, "").as_py()
+    if blank >= 0:  # white space at an end of a text
+        real = codes != blank
+        begin = np.concatenate([[0], np.cumsum(real)])[begin]
+        codes = codes[real]
+    return coded.dictionary, codes, begin

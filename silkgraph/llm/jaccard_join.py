@@ -11,31 +11,42 @@
    partner left join the cell of the first of them.
 4. Cells are expanded to their members, which sketches as wide as their sets
    filter again; cells that still share members unite. The texts of those that
-   are left are verified with exact sets, and a cell returns a forest of its
-   links. Cells over a bound are verified block against block.
+   are left are verified with exact sets: every pair of a cell is compared, as
+   differences from what most of the cell has in common, and a cell returns a
+   forest of its links and the number of links of each member.
 5. Connected components of the forests.
+
+A shingle or a cell with very many rows is dealt into blocks, and every pair
+of blocks is a task of its own, so neither memory nor a task's rows grow with
+it. Equal sets are compared once, whatever their number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from silkgraph.llm.common import materialize, table
+from silkgraph.llm.common import broadcast_if_small, materialize, table, text_blocks, unused, word_codes
 from silkgraph.operators.components import star_components
 
 #: Counters for the order of shingles, and rows they are sent in.
 COUNTERS, CHUNK = 1 << 19, 1 << 13
 #: 64-bit words of a sketch.
 SKETCH = 4
-#: Shingles of a block of a cell.
-BLOCK_SHINGLES = 1_000_000
-#: Words that a worker remembers.
+#: Rows of a shingle or a cell that are filtered in one block, and shingles of a cell that are verified in one.
+RUN, BLOCK_SHINGLES = 512, 250_000
+#: Documents in cells whose ids may be broadcast, so that only their texts are shuffled.
+BROADCAST_ROWS = 1_000_000
+#: Words that a worker process remembers.
 CACHE = 1_000_000
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -50,60 +61,76 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit shingles of texts."""
 
+    known: dict[str, int] = {}  # of this worker process: place of a word's hash in values
+    values = np.zeros(1 << 16, np.uint64)
+
     def __init__(self, k: int):
-        self.k, self.known, self.values = k, {}, np.zeros(1 << 16, np.uint64)
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = text.encode().lower().split() if isinstance(text, str) else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        for w in [w for w in set(words) if w not in known]:
-            i = known[w] = len(known)
-            if i >= len(self.values):
-                self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-            self.values[i] = xxhash.xxh3_64_intdigest(w)
-        v = self.values[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
-        k = min(self.k, len(v))
-        h = np.full(len(v) - k + 1, k, np.uint64)
+        self.k = k
+
+    def hashes(self, words: list[str]) -> np.ndarray:
+        cls = Shingler
+        if len(cls.known) > CACHE:
+            cls.known.clear()
+        at = np.fromiter(map(cls.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            n = len(cls.known)
+            if n + len(new) > len(cls.values):
+                cls.values = np.concatenate([cls.values, np.zeros(max(len(cls.values), len(new)), np.uint64)])
+            own = [words[i] for i in new]
+            cls.values[n : n + len(new)] = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in own), np.uint64, len(own))
+            at[new] = np.arange(n, n + len(new))
+            cls.known.update(zip(own, at[new].tolist(), strict=True))
+        return cls.values[at]
+
+    def shingles(self, v: np.ndarray, k: int) -> np.ndarray:
+        h = np.full(max(0, len(v) - k + 1), k, np.uint64)
         for i in range(k):
-            h = mix(h * M1 + v[i : len(v) - k + 1 + i])
-        return np.unique(h)
-
-
-def texts_of(pdf: pd.DataFrame) -> list[str | None]:
-    return [x if isinstance(x, str) else None for x in pdf["text"]]
-
-
-def shingle_levels(docs: DataFrame, k: int) -> np.ndarray:
-    """Level of each counter: 0 up to twice the mean, one more with each doubling."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            h = mix(h * M1 + v[i : i + len(h)])
+        return h
+
+    def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The set of each text; words are split and hashed for a block of texts at a time."""
+        for a, b in text_blocks(texts):
+            words, codes, begin = word_codes(pc.ascii_lower(texts[a:b]))
+            v = self.hashes(words.to_numpy(zero_copy_only=False).tolist())[codes]
+            h = self.shingles(v, self.k)
+            for i, j in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                if j - i >= self.k:
+                    yield np.unique(h[i : j - self.k + 1])
+                else:
+                    yield self.shingles(v[i:j], j - i) if j > i else np.zeros(0, np.uint64)
+
+
+def shingle_levels(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Level of each counter (0 up to twice the mean, one more with each doubling), and whether it counted more than ``RUN`` shingles."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, total, held, size = Shingler(k), np.zeros(COUNTERS, np.int64), [], 0
-        for pdf in batches:
-            for text in texts_of(pdf):
-                held.append((shingler.of(text) % np.uint64(COUNTERS)).astype(np.int64))
-                size += len(held[-1])
+        for batch in batches:
+            for s in shingler.of(batch["text"]):
+                held.append(s)
+                size += len(s)
                 if size > 2_000_000:
-                    total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    total += np.bincount((np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
                     held, size = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=COUNTERS)
-        parts = total.reshape(-1, CHUNK)
-        yield pd.DataFrame({"chunk": np.arange(len(parts)), "part": np.random.default_rng().integers(0, 64), "n": list(parts)})
+            total += np.bincount((np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        part = TaskContext.get().partitionId() % 64  # partial sums; equal when a task is repeated
+        chunks = COUNTERS // CHUNK
+        n = pa.ListArray.from_arrays(pa.array(np.arange(0, COUNTERS + 1, CHUNK), pa.int32()), pa.array(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(chunks), pa.int32()), pa.array(np.full(chunks, part), pa.int32()), n], names=["chunk", "part", "n"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"chunk": pdf["chunk"][:1], "n": [np.sum(np.stack(pdf["n"]), axis=0)]})
 
-    rows = docs.select("text").mapInPandas(count, "chunk int, part int, n array<long>")
+    rows = docs.select("text").mapInArrow(count, "chunk int, part int, n array<long>")
     some = rows.groupBy("chunk", "part").applyInPandas(add, "chunk int, n array<long>")
     total = np.zeros(COUNTERS, np.int64)
     for r in some.groupBy("chunk").applyInPandas(add, "chunk int, n array<long>").toLocalIterator():
         total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = r["n"]
     share = np.maximum(1.0, total / max(1.0, float(total.mean())))
-    return np.floor(np.log2(share)).astype(np.uint8)
+    return np.floor(np.log2(share)).astype(np.uint8), total > RUN
 
 
 def in_order(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -124,49 +151,84 @@ def wide_bits(n: int) -> int:
     return max(64 * SKETCH, 1 << (n - 1).bit_length())
 
 
-SET_COLS = "doc_id long, n int, lead long, s1 long, s2 long, p1 long, p2 long, prefix array<long>, wide binary, " + ", ".join(f"k{i} long" for i in range(SKETCH))
+SET_COLS = "doc_id long, n int, lead long, stands int, s1 long, s2 long, p1 long, p2 long, prefix array<long>, often array<long>, wide binary, " + ", ".join(f"k{i} long" for i in range(SKETCH))
 
 
-def sets(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
-    """Size, set hash, prefix and sketch per row; of equal sets in a batch all but the smallest id just name it (``lead``)."""
+def sets(docs: DataFrame, k: int, num: int, den: int, levels: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Size, set hash, prefix (and which of its shingles may be ``often``) and sketch per row; of equal sets in a batch the smallest id ``stands`` for so many rows, and the others name it (``lead``)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     names = [c.split()[0] for c in SET_COLS.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, levels = Shingler(k), shared.value
-        for pdf in batches:
-            rows, first = [], {}
-            ids = [None if x is pd.NA else int(x) for x in pdf["doc_id"].astype("Int64")]
-            for doc_id, text in sorted(zip(ids, texts_of(pdf), strict=True), key=lambda x: (x[0] is None, x[0] or 0)):
-                s = shingler.of(text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, (levels, often) = Shingler(k), shared.value
+        for batch in batches:
+            ids = batch["doc_id"].to_pylist()
+            rows: list[list] = []
+            same: dict[tuple, list[int]] = {}
+            found: dict[int, np.ndarray] = {}
+            for i, (doc_id, s) in enumerate(zip(ids, shingler.of(batch["text"]), strict=True)):
                 n = len(s)
+                rows.append([doc_id, n, *[None] * (len(names) - 2)])
                 if not n or doc_id is None:
-                    rows.append((doc_id, n, *[None] * (len(names) - 2)))
                     continue
                 m = mix(s ^ M2)
-                same = int(m.sum().view(np.int64)), int(mix(m).sum().view(np.int64))
-                lead = first.setdefault((n, *same), doc_id)
-                if lead != doc_id:
-                    rows.append((doc_id, n, lead, *[None] * (len(names) - 3)))
-                    continue
+                key = n, int(m.sum().view(np.int64)), int(mix(m).sum().view(np.int64))
+                if key not in same:
+                    same[key], found[i] = [], s
+                same[key].append(i)
+            for (n, s1, s2), at in same.items():
+                s = found[at[0]]
+                least = min(at, key=ids.__getitem__)
+                for i in at:
+                    rows[i][2] = ids[least] if i != least else None
                 prefix = in_order(s, levels)[: n - (num * n + den - 1) // den + 1]
                 step = np.arange(1, len(prefix) + 1, dtype=np.uint64)
-                p1, p2 = (mix(prefix + step * c).sum().view(np.int64) for c in (M1, M3))
-                rows.append((doc_id, n, None, *same, int(p1), int(p2), prefix.view(np.int64), sketch(s, wide_bits(n)).tobytes(), *sketch(s, 64 * SKETCH).tolist()))
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({c: "Int64" for c in names if c not in ("prefix", "wide")})
+                p1, p2 = (int(mix(prefix + step * c).sum().view(np.int64)) for c in (M1, M3))
+                rows[least] = [ids[least], n, None, len(at), s1, s2, p1, p2, prefix.view(np.int64), prefix[often[(prefix % np.uint64(COUNTERS)).astype(np.int64)]].view(np.int64), sketch(s, wide_bits(n)).tobytes(), *sketch(s, 64 * SKETCH).tolist()]
+            cols = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ", 1) for c in SET_COLS.split(", "))])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SET_COLS)
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, SET_COLS)
+def blocks_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` with more than ``RUN`` rows, and the number of ``blocks`` that they are dealt into."""
+    return materialize(rows.groupBy(*keys).agg(F.ceil(F.count("*") / RUN).cast("int").alias("blocks")).where("blocks > 1"), "hot")
+
+
+def in_blocks(rows: DataFrame, keys: list[str], id_: str, big: DataFrame) -> DataFrame:
+    """``rows`` with ``a`` and ``b``, so that any two rows of a key meet in one ``(key, a, b)`` of about ``2 * RUN`` rows at most.
+
+    Only the keys in ``big`` are dealt into blocks, by a hash of ``id_``;
+    their rows are repeated once for each block.
+    """
+    if big.isEmpty():
+        return rows.withColumns({"a": F.lit(0), "b": F.lit(0)})
+    dealt = rows.join(broadcast_if_small(big, BROADCAST_ROWS), keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(id_), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"a": F.least("own", "o"), "b": F.greatest("own", "o")}).drop("blocks", "own", "o")
 
 
 def whole_runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Frames sorted by ``key``, cut anew so that none ends within a run of equal keys."""
+    """Frames sorted by ``key``, ``a`` and ``b``, cut anew so that none ends within a run of equal ones; ``run`` numbers the runs of a frame.
+
+    A run is what :func:`in_blocks` lets meet, so it is bounded.
+    """
     held: list[pd.DataFrame] = []
+    last, number = None, 0
     for pdf in batches:
         if not len(pdf):
             continue
-        k = pdf[key].to_numpy()
-        if held and held[-1][key].iloc[-1] == k[0] == k[-1]:
+        parts = [pdf[c].to_numpy() for c in (key, "a", "b")]
+        new = np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in parts])])
+        new[0] = last != tuple(x[0] for x in parts)
+        last = tuple(x[-1] for x in parts)
+        k = number + np.cumsum(new)
+        number = int(k[-1])
+        pdf = pdf.assign(run=k)
+        if held and held[-1]["run"].iloc[-1] == k[0] == k[-1]:
             held.append(pdf)
             continue
         cut = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
@@ -206,8 +268,8 @@ def cells_of(num: int, den: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_runs(batches, "token"):
             k = pdf[[f"k{i}" for i in range(SKETCH)]].to_numpy().view(np.uint64)
-            some = partnered(pdf["token"].to_numpy(), pdf["n"].to_numpy().astype(np.int64), k, pdf["exact"].to_numpy().astype(np.int64), num, den)
-            gid, token = pdf["gid"].to_numpy()[some], pdf["token"].to_numpy()[some]
+            some = partnered(pdf["run"].to_numpy(), pdf["n"].to_numpy().astype(np.int64), k, pdf["exact"].to_numpy().astype(np.int64), num, den)
+            gid, token = pdf["gid"].to_numpy()[some], pdf["run"].to_numpy()[some]
             if len(gid):
                 start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
                 low = np.minimum.reduceat(gid, start)
@@ -231,82 +293,89 @@ def narrowed(num: int, den: int):
                 for i, x in enumerate(pdf["wide"].iloc[at]):
                     k[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, w), axis=0)
                 own = np.where(words[at] == w, 1, 2)
-                some[at] |= partnered(pdf["cell"].to_numpy()[at], pdf["n"].to_numpy().astype(np.int64)[at], k, own, num, den)
-            yield pdf.loc[some, ["cell", "doc_id", "n"]]
+                some[at] |= partnered(pdf["run"].to_numpy()[at], pdf["n"].to_numpy().astype(np.int64)[at], k, own, num, den)
+            yield pdf.loc[some, ["cell", "doc_id", "n", "copies"]]
 
     return run
 
 
+def compared(bag: list[np.ndarray], block: np.ndarray, weight: np.ndarray, num: int, den: int, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Component (its first row) and summed weight of the links of each set; with ``cross`` only links between the two blocks count.
+
+    What more than half of the sets have is taken as given: a set is then its
+    differences from that, which near copies have few of, and the differences
+    that two sets share give the size of their intersection.
+    """
+    m = len(bag)
+    n = np.array([len(s) for s in bag], np.int64)
+    tokens, inverse, df = np.unique(np.concatenate(bag), return_inverse=True, return_counts=True)
+    doc = np.repeat(np.arange(m), n)
+    given = 2 * df > m
+    rare = ~given[inverse]
+    # differences: own tokens that are not given, and given ones that are missing (a table of twice the tokens at most)
+    partly = np.flatnonzero(given & (df < m))
+    row = np.full(len(tokens), -1)
+    row[partly] = np.arange(len(partly))
+    there = np.zeros((len(partly), m), bool)
+    at = row[inverse] >= 0
+    there[row[inverse[at]], doc[at]] = True
+    missing = np.argwhere(~there)
+    d_doc, d_token = np.concatenate([doc[rare], missing[:, 1]]), np.concatenate([inverse[rare], partly[missing[:, 0]]])
+    size = np.bincount(d_doc, minlength=m)
+    shared = np.bincount(d_token, minlength=len(tokens))[d_token] > 1
+    d_doc, d_token = d_doc[shared], d_token[shared]
+    by_token = np.argsort(d_token, kind="stable")
+    post, edge = d_doc[by_token], np.concatenate([[0], np.cumsum(np.bincount(d_token, minlength=len(tokens)))])
+    by_doc = np.argsort(d_doc, kind="stable")
+    own, first = d_token[by_doc], np.concatenate([[0], np.cumsum(np.bincount(d_doc, minlength=m))])
+    component, links = np.arange(m), np.zeros(m, np.int64)
+    for i in range(m):
+        lists = [post[edge[t] : edge[t + 1]] for t in own[first[i] : first[i + 1]].tolist()]
+        common = np.bincount(np.concatenate(lists), minlength=m) if lists else np.zeros(m, np.int64)
+        both = (n[i] + n - (size[i] + size - 2 * common)) // 2
+        linked = den * both >= num * (n[i] + n - both)
+        linked[i] = False
+        if cross:
+            linked &= block != block[i]
+        links[i] = weight[linked].sum()
+        near = np.unique(component[linked])
+        if len(near) and (near != component[i]).any():
+            low = min(int(near[0]), int(component[i]))
+            component[np.isin(component, near) | (component == component[i])] = low
+    return component, links
+
+
 def verify(k: int, num: int, den: int):
-    """Links among a block's documents, or between two blocks, as a forest."""
+    """``u, v, links`` of a block's documents, or of two blocks': ``v`` is the smallest id that ``u`` is connected with there."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shingler = Shingler(k)
-        rows = sorted(zip(pdf["doc_id"], pdf["block"], texts_of(pdf), strict=True), key=lambda x: x[:2])
-        bag = [(int(d), int(b), shingler.of(t)) for d, b, t in rows]
-        cross = len({b for _, b, _ in bag}) > 1
-        bag.sort(key=lambda x: len(x[2]))
-        tokens, inverse, df = np.unique(np.concatenate([s for _, _, s in bag]), return_inverse=True, return_counts=True)
-        edges = np.concatenate([[0], np.cumsum([len(s) for _, _, s in bag])])
-        parent = list(range(len(bag)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        mark = np.zeros(len(tokens), bool)
-        index: dict[int, list[int]] = {}
-        own = [inverse[edges[i] : edges[i + 1]] for i in range(len(bag))]
-        for i, (doc, block, _) in enumerate(bag):
-            s = own[i]
-            n = len(s)
-            need = (num * n + den - 1) // den
-            head = s[np.argsort(df[s], kind="stable")][: n - need + 1]  # rare in this cell first; ties by hash
-            head = head[df[head] > 1]
-            mark[s] = True
-            mine, tried = root(i), set()
-            for t in head.tolist():
-                bucket = index.setdefault(t, [])
-                for j in bucket:
-                    if j in tried:
-                        continue
-                    tried.add(j)
-                    other = own[j]
-                    if len(other) < need or (cross and bag[j][1] == block) or root(j) == mine:
-                        continue
-                    both = int(np.count_nonzero(mark[other]))
-                    if den * both >= num * (n + len(other) - both):
-                        parent[max(root(j), mine)] = min(root(j), mine)
-                        mine = root(i)
-                bucket.append(i)
-            mark[s] = False
-        low: dict[int, int] = {}
-        for i, (doc, _, _) in enumerate(bag):
-            r = root(i)
-            low[r] = min(low.get(r, doc), doc)
-        pairs = [(doc, low[root(i)]) for i, (doc, _, _) in enumerate(bag) if low[root(i)] != doc]
-        return pd.DataFrame(pairs, columns=["u", "v"], dtype="int64")
+        pdf = pdf.sort_values(["doc_id", "text"]).drop_duplicates("doc_id", ignore_index=True)  # of rows of one id, which should have one text
+        bag = list(Shingler(k).of(pa.array(pdf["text"], pa.string())))
+        component, links = compared(bag, pdf["block"].to_numpy(), pdf["copies"].to_numpy(np.int64), num, den, bool(pdf["a"].iloc[0] != pdf["b"].iloc[0]))
+        ids = pdf["doc_id"].to_numpy(np.int64)
+        some = links > 0
+        return pd.DataFrame({"u": ids[some], "v": ids[component[some]], "links": links[some]})
 
     return run
 
 
-def links(docs: DataFrame, k: int, num: int, den: int, found: DataFrame) -> DataFrame:
-    """Edges ``u, v`` with the same components as all links; ``found`` comes from :func:`sets`."""
+def links(docs: DataFrame, k: int, num: int, den: int, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges ``u, v`` with the same components as all links, and ``id, n_links`` of the rows that have links; ``found`` comes from :func:`sets`."""
     whole = found.where("lead is null and n > 0 and doc_id is not null")
     same_group = ["p1", "p2", "n"]
+    same_set = [*same_group, "s1", "s2"]
     sketches = [F.min(f"k{i}").alias(f"k{i}") for i in range(SKETCH)]
     even = F.lit(True)
     for i in range(SKETCH):
         even &= F.min(f"k{i}") == F.max(f"k{i}")
     groups = whole.groupBy(*same_group).agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"), even.alias("exact"), *sketches)
     posts = groups.select(F.explode("prefix").alias("token"), "n", "gid", "exact", *[f"k{i}" for i in range(SKETCH)])
-    cells = posts.repartition("token").sortWithinPartitions("token", "n").mapInPandas(cells_of(num, den), "cell long, gid long")
+    common = blocks_of(whole.select(F.explode("often").alias("token")), ["token"])
+    cells = in_blocks(posts, ["token"], "gid", common).repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "n").mapInPandas(cells_of(num, den), "cell long, gid long")
 
-    slim = whole.select("doc_id", *same_group, "s1", "s2")
-    named = slim.groupBy(*same_group, "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = slim.join(named.where("copies > 1"), [*same_group, "s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    slim = whole.select("doc_id", "stands", *same_set)
+    named = materialize(slim.groupBy(*same_set).agg(F.min("doc_id").alias("rep"), F.count("*").alias("batches"), F.sum("stands").alias("copies")), "named")
+    copies = materialize(slim.join(named.where("batches > 1").drop("copies"), same_set).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), "copies")
     in_batch = found.where("lead is not null").select(F.col("doc_id").alias("u"), F.col("lead").alias("v"))
     gids = named.groupBy(*same_group).agg(F.min("rep").alias("gid"), F.count("*").alias("members"))
     wide = named.join(gids.where("members > 1"), same_group).select("gid", "rep", "n")  # groups of several sets
@@ -316,49 +385,66 @@ def links(docs: DataFrame, k: int, num: int, den: int, found: DataFrame) -> Data
     single = cells.join(wide.select("gid").distinct(), "gid", "left_anti").select("cell", F.col("gid").alias("doc_id"))
     several = cells.join(wide, "gid").select("cell", F.col("rep").alias("doc_id"))
     wides = whole.groupBy("doc_id", "n").agg(F.first("wide").alias("wide"))
-    members = single.unionByName(several).join(wides, "doc_id").select("cell", "doc_id", "n", "wide")
-    members = materialize(members.repartition("cell").sortWithinPartitions("cell", "n").mapInPandas(narrowed(num, den), "cell long, doc_id long, n int"), "members")
-    # cells that share a member are one: every text then travels once
+    expanded = single.unionByName(several).join(wides, "doc_id").join(named.select(F.col("rep").alias("doc_id"), "copies"), "doc_id")
+    expanded = materialize(expanded.select("cell", "doc_id", "n", "copies", "wide"), "expanded")
+    dealt = in_blocks(expanded, ["cell"], "doc_id", blocks_of(expanded, ["cell"])).repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b", "n")
+    members = materialize(dealt.mapInPandas(narrowed(num, den), "cell long, doc_id long, n int, copies long").distinct(), "members")
+    # cells that share a member are one: every pair is then verified once
     whole_cells = star_components(members, "cell", "doc_id").select(F.col("id").alias("doc_id"), F.col("component").alias("cell"))
-    members = members.select("doc_id", "n").distinct().join(whole_cells, "doc_id")
+    members = members.select("doc_id", "n", "copies").distinct().join(whole_cells, "doc_id")
     sizes = members.groupBy("cell").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("n_docs")).where("n_docs > 1")
-    dealt = members.select("cell", "doc_id").join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "doc_id", "block", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"))
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(paired.hint("merge"), "doc_id")
-    edges = texts.groupBy("cell", "a", "b").applyInPandas(verify(k, num, den), "u long, v long")
-    return edges.unionByName(copies).unionByName(in_batch)
+    own = members.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    paired = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "doc_id", "copies", "block", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"))
+    paired = materialize(paired, "paired")
+    few = broadcast_if_small(paired.select("doc_id").distinct(), BROADCAST_ROWS)  # beyond it the join below shuffles all texts
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id", "left_semi")
+    # rows of one id are one document: the set's row is the one whose id it bears
+    verified = materialize(texts.join(paired, "doc_id").groupBy("cell", "a", "b").applyInPandas(verify(k, num, den), "u long, v long, links long"), "verified")
+    edges = verified.where("u <> v").select("u", "v").unionByName(copies).unionByName(in_batch)
+
+    own_links = named.where("copies > 1").select(F.col("rep").alias("id"), (F.col("copies") - 1).alias("n_links")).unionByName(verified.select(F.col("u").alias("id"), F.col("links").alias("n_links")))
+    reps = materialize(own_links.groupBy("id").agg(F.sum("n_links").alias("n_links")), "links")
+    to_rep = in_batch.join(copies.withColumnRenamed("u", "lead").withColumnRenamed("v", "rep"), F.col("v") == F.col("lead"), "left").select("u", F.coalesce("rep", "v").alias("v")).unionByName(copies).distinct()
+    return edges, reps.unionByName(to_rep.where("u <> v").join(reps, F.col("v") == F.col("id")).select(F.col("u").alias("id"), "n_links"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per row of ``docs``.
+    """``doc_id, n_shingles, component_id, n_links`` per row of ``docs``.
 
     Two documents link when ``den * |A & B| >= num * |A | B|`` for their sets
     of distinct ``k``-word shingles (A-Z lower-cased, words between ASCII white
     space; fewer words are one shingle). ``component_id`` is the smallest id
-    that links reach. Null and empty texts have empty sets and link with
-    nothing; rows of one id are one document; rows without id have no
-    component. Other columns are ignored.
+    that links reach, ``n_links`` the number of other rows that a row links
+    with. Null and empty texts have empty sets and link with nothing; rows of
+    one id are one document to the components, and should have one text; rows
+    without id have no component and no links. Other columns are ignored.
     """
     levels = shingle_levels(docs, k)
     found = materialize(sets(docs, k, num, den, levels), "sets")
-    components = star_components(links(docs, k, num, den, found)).select(F.col("id").alias("__id"), "component")
-    joined = found.select("doc_id", "n").join(components, F.col("doc_id") == F.col("__id"), "left")
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    edges, counts = links(docs, k, num, den, found)
+    components = star_components(edges).select(F.col("id").alias("__id"), "component")
+    counts = counts.groupBy(F.col("id").alias("__l")).agg(F.max("n_links").alias("n_links"))
+    joined = found.select("doc_id", "n").join(components, F.col("doc_id") == F.col("__id"), "left").join(counts, F.col("doc_id") == F.col("__l"), "left")
+    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def near_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id.
 
-    Rows without id stay; of repeated rows of an id one stays, whichever.
+    Rows without id stay. Of repeated rows of an id the one whose text has the
+    smallest hash stays, and of those with that text any.
     """
     levels = shingle_levels(docs, k)
     found = materialize(sets(docs, k, num, den, levels), "sets")
-    drop = star_components(links(docs, k, num, den, found)).where("id <> component").select(F.col("id").alias("__id"))
-    kept = docs.join(drop, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
-    twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1")
+    id_, n, rank = (unused(docs, x) for x in ("id", "n", "rank"))
+    drop = star_components(links(docs, k, num, den, found)[0]).where("id <> component").select(F.col("id").alias(id_))
+    kept = docs.join(drop, F.col("doc_id").cast("long") == F.col(id_), "left_anti")
+    twice = materialize(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(id_), "twice")
     if twice.isEmpty():
         return kept
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    same = F.col("doc_id").cast("long") == F.col(id_)
+    first = kept.join(twice, same, "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(F.col(rank) == 1).drop(rank)
+    return kept.join(twice, same, "left_anti").unionByName(first)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,7 +459,8 @@ n as (select doc_id, count(*) n from g group by doc_id),
 j as (select a.doc_id a, b.doc_id b, count(*) c from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by all),
 l as (select a, b from j join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
 e as (select a, b from l union select b, a from l),
+c as (select a, count(*) n from e group by a),
 r as (select doc_id a, doc_id b from documents union select r.a, e.b from r join e on e.a = r.b)
-select d.doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles, m.c component_id
-from documents d left join n on n.doc_id = d.doc_id join (select a, min(b) c from r group by a) m on m.a = d.doc_id
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles, m.c component_id, cast(coalesce(c.n, 0) as bigint) n_links
+from documents d left join n on n.doc_id = d.doc_id left join c on c.a = d.doc_id join (select a, min(b) c from r group by a) m on m.a = d.doc_id
 """

@@ -30,14 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silkgraph.llm.common import materialize, table, unused
+from silkgraph.llm.common import materialize, table, text_blocks, unused, word_codes
 
 CAPACITY = 4096
 #: Id that ends a document.
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words that a worker process remembers; bytes of text (one document at least) that are looked up together; parts of words that are encoded together.
-CACHE, BLOCK_BYTES, JOINED = 1_000_000, 8 << 20, 500
+#: Words that a worker process remembers; parts of words that are encoded together.
+CACHE, JOINED = 1_000_000, 500
 #: Ranges of sizes: (C/2, C], (C/4, C/2], and so on; the last one has all that is left.
 RANGES = 8
 #: Bits of a rank in a key, and of a sequence's number among those that a superstep opens.
@@ -138,27 +138,24 @@ class WordIds:
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin (and the last one's end); nulls are empty."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        words, at, begin = word_codes(texts)
+        distinct = words.to_numpy(zero_copy_only=False).tolist()
         rows = np.fromiter(map(self.words.get, distinct, repeat(-1)), np.int64, len(distinct))
-        at = coded.indices.to_numpy()
         if (rows < 0).any():
             if len(self.words) > CACHE:  # of what is known only words that this block repeats stay
                 often = np.bincount(at, minlength=len(distinct)) > 1
                 self.forget()
-                self.learn(coded.dictionary.filter(pa.array(often)))
+                self.learn(words.filter(pa.array(often)))
                 rows = np.fromiter(map(self.words.get, distinct, repeat(-1)), np.int64, len(distinct))
             new = np.flatnonzero(rows < 0)
             rows[new] = np.arange(len(self.words), len(self.words) + len(new))
-            self.learn(coded.dictionary.take(pa.array(new)))
+            self.learn(words.take(pa.array(new)))
         part = self.pairs[rows[at]].reshape(-1)
         start, size = self.begin[part], self.begin[part + 1] - self.begin[part]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(start - ends + size, size) + np.arange(total)]
-        words = split.offsets.to_numpy().astype(np.int64)
-        return ids, np.concatenate([[0], ends])[2 * (words - words[0])]
+        return ids, np.concatenate([[0], ends])[2 * begin]
 
 
 _KNOWN: dict[str, WordIds] = {}
@@ -171,16 +168,6 @@ def word_ids(path: str) -> WordIds:
     return _KNOWN[path]
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with at most ``BLOCK_BYTES`` in all, or one text."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(size):
-        end = max(at + 1, int(np.searchsorted(size, BLOCK_BYTES + (size[at - 1] if at else 0), side="right")))
-        yield at, end
-        at = end
-
-
 def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: ``doc_id, piece, start, length, ids_crc32`` (and ``ids``).
 
@@ -214,7 +201,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in blocks(batch["text"]):
+            for a, b in text_blocks(batch["text"]):
                 yield pieces(batch["doc_id"][a:b], batch["text"][a:b])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)

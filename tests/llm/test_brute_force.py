@@ -31,6 +31,31 @@ def test_longest_repeats():
         assert quality_rules.longest_repeats(seq).tolist() == want
 
 
+def repeated(w, least):
+    """Words in repeats of ``least`` words or more, and the longest repeat, by growing windows."""
+    spots, size, longest, hit = list(range(len(w))), 0, 0, set()
+    while spots:
+        size += 1
+        seen = collections.defaultdict(list)
+        for k in spots:
+            if k + size <= len(w):
+                seen[tuple(w[k : k + size])].append(k)
+        spots = [k for ks in seen.values() if len(ks) > 1 for k in ks]
+        longest = size if spots else longest
+        if size == least:
+            hit = {p for k in spots for p in range(k, k + size)}
+        if size > 60 and spots:  # long repeats by their tail: a longer one covers no more than its windows do
+            best = 0
+            for ks in seen.values():
+                for a, b in zip(ks, ks[1:], strict=False):
+                    n = size
+                    while b + n < len(w) and w[a + n] == w[b + n]:
+                        n += 1
+                    best = max(best, n)
+            return len(hit), max(best, longest)
+    return len(hit), longest
+
+
 def test_quality_rules(spark, documents):
     got = {r["doc_id"]: r for r in quality_rules.op9_quality_rules(spark, SMALL).collect()}
     for i, (text, _) in documents.items():
@@ -42,7 +67,8 @@ def test_quality_rules(spark, documents):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
         assert r["base_failed"] == (len(w) < 20 or 100 * len(hit) > 30 * len(w))
-        assert not (r["base_failed"] and r["kept"])
+        assert (r["n_covered"], r["longest_repeat"]) == repeated(w, quality_rules.MIN_REPEAT)
+        assert r["kept"] == (not r["base_failed"] and r["n_covered"] <= 0.25 * len(w) and r["longest_repeat"] <= 400)
 
 
 def test_license_places(spark, documents):
@@ -53,7 +79,7 @@ def test_license_places(spark, documents):
         r = got[i]
         assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(w), len(places), ",".join(sorted({x for _, x in places})))
         assert (r["first_word"], r["last_word"]) == ((places[0][0], places[-1][0]) if places else (None, None))
-        templates = {label for label, t, _ in license_scan.TEMPLATES for k in range(len(w)) if w[k : k + len(t.split())] == t.split()}
+        templates = {label for label, _, t in license_scan.TEMPLATES for k in range(len(w)) if w[k : k + len(t.split())] == t.split()}
         assert templates <= set(r["labels"].split(","))
         assert 0 <= r["score"] <= 1
 
@@ -84,6 +110,64 @@ def test_key_phrase_decides_on_a_license(spark, documents):
         assert got[i]["score"] == pytest.approx(1.0 if base else max(shares), abs=1e-8)
 
 
+def test_more_languages_than_a_mask_word(spark):
+    names = [f"l{i:02d}" for i in range(70)]
+    letter = lambda i, j: chr(0x4E00 + 40 * i + j)
+    texts = {(n, v): " ".join("".join(letter(i, (v + x + y) % 30) for y in range(4)) for x in range(40)) for i, n in enumerate(names) for v in range(3)}
+    df = spark.createDataFrame([(i, t, n) for i, ((n, _), t) in enumerate(texts.items())], "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert model.slots.shape[1] == 2
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(df, model).collect()}
+    assert [got[i] for i in range(len(got))] == [n for n, _ in texts]
+
+
+def test_masks_counts_and_votes_of_language_filters(documents):
+    words = collections.defaultdict(collections.Counter)
+    for text, lang in documents.values():
+        if text and lang:
+            words[lang].update(language_id.letters(text))
+    langs = sorted(words)
+    grams = collections.defaultdict(int)
+    for i, lang in enumerate(langs):
+        own = collections.Counter()
+        for w, n in words[lang].items():
+            for g in language_id.word_grams(w):
+                own[g] += n
+        for g, n in own.items():
+            grams[g] |= (1 << i) if n >= max(2.0, language_id.MIN_SHARE * words[lang].total()) else 0
+    model = language_id.Filter(langs, {g: m for g, m in grams.items() if m})
+    for g, m in list(grams.items())[::7]:
+        assert model.languages(g) & m == m  # a filter has no false negatives
+    counter = language_id.Counter(model)
+    for text, _ in list(documents.values())[:40]:
+        own = [g for w in language_id.letters(text or "") for g in language_id.word_grams(w)]
+        assert counter.text(language_id.letters(text or "")).tolist() == [len(own), *[sum(model.languages(g) >> i & 1 for g in own) for i in range(len(langs))]]
+
+
+def test_edited_license_bodies(spark):
+    """Wordings with words changed outside the key phrase keep their label; texts without a licence get none."""
+    rnd = random.Random(12)
+    rows, want = [], []
+    for label, text, phrase in license_scan.TEMPLATES:
+        w, key = text.split(), phrase.split()
+        at = next(i for i in range(len(w)) if w[i : i + len(key)] == key)
+        for edits in (0, 2, 4):
+            x = list(w)
+            for _ in range(edits):
+                i = rnd.choice([*range(at), *range(at + len(key), len(w))] or [-1])
+                if i >= 0:
+                    x[i] = "changed"
+            rows.append(" ".join([*(f"word{rnd.randrange(99)}" for _ in range(20)), *x, "Then more."]))
+            want.append(label)
+    clean = ["The public must be granted a license by any person, free of use and with all rights to copy, redistribute or modify this work.", "Software in binary forms; version 2, 0 or 3 of the GNU project. A boost, an eclipse, an artistic license."] * 3
+    got = spark.createDataFrame(list(enumerate([*rows, *clean])), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(got).collect()}
+    for i, label in enumerate(want):
+        assert label in got[i]["labels"].split(",") and 0 < got[i]["score"] <= 1
+        assert set(got[i]["labels"].split(",")) - {label} <= {"gpl", "cc-by", "reserved"}
+    assert all(got[len(rows) + i]["labels"] == "" and got[len(rows) + i]["score"] == 0 for i in range(len(clean)))
+
+
 def test_language_of_held_out_documents(spark, documents):
     got = language_id.op6_language_id(spark, SMALL).collect()
     out = [r for r in got if r["held_out"]]
@@ -204,7 +288,8 @@ def brute_components(texts, k, num, den):
                 if a < b and sets[a] and sets[b] and low[a] != low[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                     low[a] = low[b] = min(low[a], low[b])
                     changed = True
-    return {i: (len(sets[i]), low[i]) for i in texts}
+    linked = lambda a, b: a != b and sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])
+    return {i: (len(sets[i]), low[i], sum(bool(linked(i, j)) for j in texts)) for i in texts}
 
 
 def near_copies(n, seed=3):
@@ -221,15 +306,47 @@ def near_copies(n, seed=3):
 
 
 @pytest.mark.parametrize("k,num,den", [(3, 90, 100), (5, 80, 100)])
-@pytest.mark.parametrize("block", [1_000_000, 700])
-def test_jaccard_components(spark, monkeypatch, k, num, den, block):
+@pytest.mark.parametrize("block,run", [(250_000, 512), (700, 7)])
+def test_jaccard_components(spark, monkeypatch, k, num, den, block, run):
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(jaccard_join, "RUN", run)
     texts = near_copies(90)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df, k, num, den).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.jaccard_components(df, k, num, den).collect()}
     assert got == brute_components(texts, k, num, den)
 
 
+def test_compared_sets():
+    rnd = random.Random(9)
+    for m in (2, 3, 30):
+        base = set(range(100))
+        bag = [(base - {rnd.randrange(100) for _ in range(rnd.randrange(9))}) | {rnd.randrange(100, 110) for _ in range(rnd.randrange(5))} for _ in range(m)]
+        bag += [{rnd.randrange(40) for _ in range(5)} for _ in range(4)]
+        for blocks in ([0] * len(bag), [i % 2 for i in range(len(bag))]):
+            weight = np.array([rnd.randrange(1, 4) for _ in bag])
+            cross = len(set(blocks)) > 1
+            component, links = jaccard_join.compared([np.array(sorted(s), np.uint64) for s in bag], np.array(blocks), weight, 90, 100, cross)
+            linked = [[j for j in range(len(bag)) if i != j and not (cross and blocks[i] == blocks[j]) and 100 * len(bag[i] & bag[j]) >= 90 * len(bag[i] | bag[j])] for i in range(len(bag))]
+            low = list(range(len(bag)))
+            for _ in bag:
+                low = [min([low[i], *[low[j] for j in js]]) for i, js in enumerate(linked)]
+            assert component.tolist() == low and links.tolist() == [int(weight[js].sum()) for js in linked]
+
+
+def test_filter_of_a_hot_shingle_is_not_dropping_links():
+    rnd = random.Random(10)
+    sizes = np.sort(np.array([rnd.randrange(20, 60) for _ in range(60)]))
+    sets = [np.unique(np.array([rnd.randrange(70) for _ in range(n)], np.uint64)) for n in sizes]
+    sets = sorted([*sets, *[s[:-1] for s in sets[:20]]], key=len)
+    k = np.array([jaccard_join.sketch(s, 256).view(np.uint64) for s in sets])
+    n = np.array([len(s) for s in sets])
+    some = jaccard_join.partnered(np.zeros(len(sets), np.int64), n, k, np.ones(len(sets), np.int64), 90, 100)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if i != j and 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b)):
+                assert some[i] and some[j]
+
+
 def brute_repeats(texts, w=50):
     words = {i: (t or "").encode().split() for i, t in texts.items()}
     first = {}
@@ -303,6 +420,49 @@ def test_most_common_word_of_the_whole_text():
     assert top(["one"]) == 1.0 and top([]) == 0.0
 
 
+def test_site_posteriors_in_plain_python(spark):
+    rnd = random.Random(11)
+    rows = [(f"h{h}", f"p{p}", rnd.gauss(h - 2, 1), rnd.gauss(-3, 1)) for h in range(5) for p in range(1 + h % 3) for _ in range((40, 3, 1, 25, 2)[h])]
+    got = {(r["host"], r["path"]): r for r in quality_classifier.site_posteriors(spark.createDataFrame(rows, "host string, path string, low double, toxic double").repartition(3)).collect()}
+    clip = lambda x: min(max(x, quality_classifier.STRENGTH[0]), quality_classifier.STRENGTH[1])
+    logit = lambda p: np.log(p / (1 - p))
+
+    def strength(sites):  # rate, n, mean
+        total = sum(n for _, n, _ in sites)
+        spread = sum(n * (r - m) ** 2 for r, n, m in sites) / total
+        noise = sum(m * (1 - m) for _, n, m in sites) / total
+        return clip(max(m * (1 - m) for _, _, m in sites) / max(spread - noise, 1e-9) - 1)
+
+    for col, head in ((2, "low"), (3, "toxic")):
+        sums = collections.defaultdict(lambda: [0, 0.0])
+        for r in rows:
+            for key in ((), (r[0],), (r[0], r[1])):
+                sums[key][0] += 1
+                sums[key][1] += 1 / (1 + np.exp(-r[col]))
+        mean = (sums[()][1] + 0.5) / (sums[()][0] + 1)
+        hosts = {k[0]: v for k, v in sums.items() if len(k) == 1}
+        paths = {k: v for k, v in sums.items() if len(k) == 2}
+        kh = strength([(s / n, n, mean) for n, s in hosts.values()])
+        host = {h: (kh * mean + s) / (kh + n) for h, (n, s) in hosts.items()}
+        kp = strength([(s / n, n, host[k[0]]) for k, (n, s) in paths.items()])
+        for k, (n, s) in paths.items():
+            p = (kp * host[k[0]] + s) / (kp + n)
+            assert got[k][f"site_{head}"] == pytest.approx(p, rel=1e-6) and got[k][f"shift_{head}"] == pytest.approx(logit(p) - logit(mean), rel=1e-6, abs=1e-9)
+            if head == "low" and n <= 3:  # a sparse site stays near what is above it
+                assert abs(p - host[k[0]]) < abs(s / n - host[k[0]]) / 2
+
+
+def test_classifier_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = duck(sf).execute("select doc_id, quality, toxic from labels").fetchall()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    fitted = spark.createDataFrame([r for r in labels if r[0] % 2], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_classifier.classify(docs, fitted).collect()}
+    unseen = [r for r in labels if not r[0] % 2]
+    assert sum((got[i]["p_low"] >= 0.5) == (q == 0) for i, q, _ in unseen) >= 0.9 * len(unseen)
+    assert sum((got[i]["p_toxic"] >= 0.5) == (t == 1) for i, _, t in unseen) >= 0.9 * len(unseen)
+
+
 def test_classifier_on_labels(spark):
     got = {r["doc_id"]: r for r in quality_classifier.op1_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
     labels = duck("/root/testdata/sf0.01").execute("select doc_id, quality, toxic from labels").fetchall()

@@ -12,8 +12,8 @@ SCHEMA = "doc_id long, text string, lang string, source string"
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(*r, 7, "p", [1], 0, "q") for r in DOCS]
-    return spark.createDataFrame(rows, SCHEMA + ", pos long, w string, hits array<long>, __at long, path string")
+    rows = [(*r, 7, "p", [1], 0, "q", 5, "t", [2], 1, "h", 3, 4, 6, "x") for r in DOCS]
+    return spark.createDataFrame(rows, SCHEMA + ", pos long, w string, hits array<long>, __at long, path string, __id long, __th string, __spans array<long>, __bad long, __hits string, __n int, __rank int, __l int, component string")
 
 
 @pytest.fixture(scope="module")
@@ -70,10 +70,23 @@ def test_empty_tables(spark, none):
 def test_filters_keep_columns(spark, docs):
     for df in (decontaminate.decontaminate(docs, bench(spark, ())), substring.dedup(docs), jaccard_join.near_dedup(docs), quality_classifier.keep_good(docs, labels(spark))):
         assert df.columns == docs.columns
-    assert ids(decontaminate.decontaminate(docs, bench(spark))) == [2, 3, 4, 5, None, None]
+    assert ids(decontaminate.decontaminate(docs, bench(spark))) == [2, 3, 4, 5, None]  # the row without id has a hit too
+    cut = decontaminate.decontaminate(docs, bench(spark), mode="spans")
+    assert cut.columns == docs.columns and ids(cut) == ALL
     assert ids(jaccard_join.near_dedup(docs)) == [1, 2, 3, 4, 5, None, None]
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    rows = [(1, "plain text all rights reserved"), (1, "a clean one of five words"), (1, None), (None, "plain text all rights reserved"), (None, "clean")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontaminate.decontaminate(df, bench(spark)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[1], rows[2], rows[4]], key=str)
+    cut = decontaminate.decontaminate(df, bench(spark), mode="spans").collect()
+    assert sorted(map(tuple, cut), key=str) == sorted([(1, ""), rows[1], rows[2], (None, ""), rows[4]], key=str)
+    once = [jaccard_join.near_dedup(df.repartition(n)).where("doc_id = 1").collect() for n in (1, 4)]
+    assert once[0] == once[1] and len(once[0]) == 1
+
+
 def test_spans_are_cut(spark):
     docs = spark.createDataFrame([(1, "(Keep) this, Plain TEXT; all rights reserved! and that.")], "doc_id long, text string")
     assert decontaminate.decontaminate(docs, bench(spark), mode="spans").first()["text"] == "(Keep) this, and that."
@@ -92,6 +105,25 @@ def test_warc_round_trip(spark):
     assert sorted(map(tuple, warc.write_warc(df.repartition(3), again, shard_bytes=2500, roll_bytes=200).collect())) == sorted(map(tuple, manifest))
 
 
+def test_shards_are_bounded_whatever_the_ids(spark):
+    from silkgraph.llm.common import materialize
+
+    near = [(i, "u", f"{i:04d}" * 25) for i in range(400)]
+    one = [(77, "u", f"{i:04d}" * 25) for i in range(200)]
+    for rows in (near, [*near, (1 << 60, "u", "far")], [*near, (-(1 << 62), "u", "far"), ((1 << 63) - 1, "u", "end")], [*near, *one], [*near, *[(None, *r[1:]) for r in one]], [(5, "u", None)], []):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+        narrow = materialize(warc.index(df), "index")
+        layout = warc.Layout(narrow, 8000)
+        placed = narrow.withColumn("shard", layout.column("page_id", "digest")).collect()
+        held = {}
+        for r in placed:
+            held[r["shard"]] = held.get(r["shard"], 0) + r["bytes"] + 512
+        total = sum(held.values())
+        assert max(held.values(), default=0) <= 2 * 8000 and layout.shards <= 2 * (1 + total // 8000) + 3 and max(held, default=0) < layout.shards
+        in_order = sorted((r for r in placed if r["page_id"] is not None), key=lambda r: (r["page_id"], r["digest"]))
+        assert [r["shard"] for r in in_order] == sorted(r["shard"] for r in in_order)
+
+
 def test_preferences(spark):
     turns = [(2, 0, "user", "hi"), (2, 1, "assistant", "good <|end|>"), (3, 0, "user", "yo"), (3, 1, "assistant", "bad"), (4, 0, None, None), (None, 0, "user", "x"), (2, 2, "user", "after")]
     out = {r["pair_id"]: r for r in preference.format_preferences(preference.swapped_pairs(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}
