@@ -13,7 +13,9 @@
    filter again; cells that still share members unite. The texts of those that
    are left are verified with exact sets: every pair of a cell is compared, as
    differences from what most of the cell has in common, and a cell returns a
-   forest of its links and the number of links of each member.
+   forest of its links and the number of links of each member. Of cells of
+   several blocks each text is read once, and its differences from one text of
+   the cell stand for it in the pairs of blocks.
 5. Connected components of the forests.
 
 A shingle or a cell with very many rows is dealt into blocks, and every pair
@@ -42,8 +44,8 @@ from silkgraph.operators.components import star_components
 COUNTERS, CHUNK = 1 << 19, 1 << 13
 #: 64-bit words of a sketch.
 SKETCH = 4
-#: Rows of a shingle or a cell that are filtered in one block, and shingles of a cell that are verified in one.
-RUN, BLOCK_SHINGLES = 512, 250_000
+#: Rows of a shingle or a cell that are filtered, or verified, in one block, and shingles that are verified in one.
+RUN, BLOCK_SHINGLES = 512, 1_000_000
 #: Documents in cells whose ids may be broadcast, so that only their texts are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Words that a worker process remembers.
@@ -299,17 +301,19 @@ def narrowed(num: int, den: int):
     return run
 
 
-def compared(bag: list[np.ndarray], block: np.ndarray, weight: np.ndarray, num: int, den: int, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+def compared(bag: list[np.ndarray], n: np.ndarray, block: np.ndarray, weight: np.ndarray, num: int, den: int, cross: bool) -> tuple[np.ndarray, np.ndarray]:
     """Component (its first row) and summed weight of the links of each set; with ``cross`` only links between the two blocks count.
 
-    What more than half of the sets have is taken as given: a set is then its
-    differences from that, which near copies have few of, and the differences
-    that two sets share give the size of their intersection.
+    ``bag`` are the sets, or their differences from one and the same set, and
+    ``n`` the sizes of the sets. What more than half of the bag has is taken as
+    given: a set is then its differences from that, which near copies have few
+    of, and the differences that two sets share give the size of their
+    intersection.
     """
     m = len(bag)
-    n = np.array([len(s) for s in bag], np.int64)
+    own_size = np.array([len(s) for s in bag], np.int64)
     tokens, inverse, df = np.unique(np.concatenate(bag), return_inverse=True, return_counts=True)
-    doc = np.repeat(np.arange(m), n)
+    doc = np.repeat(np.arange(m), own_size)
     given = 2 * df > m
     rare = ~given[inverse]
     # differences: own tokens that are not given, and given ones that are missing (a table of twice the tokens at most)
@@ -345,16 +349,51 @@ def compared(bag: list[np.ndarray], block: np.ndarray, weight: np.ndarray, num:
     return component, links
 
 
+def told(ids: np.ndarray, component: np.ndarray, links: np.ndarray) -> pd.DataFrame:
+    some = links > 0
+    return pd.DataFrame({"u": ids[some], "v": ids[component[some]], "links": links[some]})
+
+
+def one_text(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of rows of one id, which should have one text, the first by text; in order of ids."""
+    return pdf.sort_values(["doc_id", "text"]).drop_duplicates("doc_id", ignore_index=True)
+
+
 def verify(k: int, num: int, den: int):
-    """``u, v, links`` of a block's documents, or of two blocks': ``v`` is the smallest id that ``u`` is connected with there."""
+    """``u, v, links`` of a cell of one block: ``v`` is the smallest id that ``u`` is connected with."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text"]).drop_duplicates("doc_id", ignore_index=True)  # of rows of one id, which should have one text
+        pdf = one_text(pdf)
         bag = list(Shingler(k).of(pa.array(pdf["text"], pa.string())))
-        component, links = compared(bag, pdf["block"].to_numpy(), pdf["copies"].to_numpy(np.int64), num, den, bool(pdf["a"].iloc[0] != pdf["b"].iloc[0]))
-        ids = pdf["doc_id"].to_numpy(np.int64)
-        some = links > 0
-        return pd.DataFrame({"u": ids[some], "v": ids[component[some]], "links": links[some]})
+        n = np.array([len(s) for s in bag], np.int64)
+        return told(pdf["doc_id"].to_numpy(np.int64), *compared(bag, n, np.zeros(len(bag), np.int64), pdf["copies"].to_numpy(np.int64), num, den, False))
+
+    return run
+
+
+def differences(k: int):
+    """``cell, doc_id, copies, block, n, apart``: sizes of sets, and the shingles in which they differ from the pivot's, a row of each block."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pivot = one_text(pdf[pdf["pivot"]])
+        pdf = one_text(pdf[~pdf["pivot"]])
+        shingler = Shingler(k)
+        base = next(shingler.of(pa.array(pivot["text"][:1], pa.string())))
+        bag = list(shingler.of(pa.array(pdf["text"], pa.string())))
+        apart = [np.setxor1d(s, base, assume_unique=True).view(np.int64) for s in bag]
+        return pdf[["cell", "doc_id", "copies", "block"]].assign(n=np.array([len(s) for s in bag], np.int64), apart=pd.Series(apart, dtype=object))
+
+    return run
+
+
+def compare_blocks(num: int, den: int):
+    """As :func:`verify`, of a block or of two blocks of a cell, from :func:`differences`."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id", ignore_index=True)
+        bag = [np.asarray(x, np.int64) for x in pdf["apart"]]
+        cross = bool(pdf["a"].iloc[0] != pdf["b"].iloc[0])
+        return told(pdf["doc_id"].to_numpy(np.int64), *compared(bag, pdf["n"].to_numpy(np.int64), pdf["block"].to_numpy(), pdf["copies"].to_numpy(np.int64), num, den, cross))
 
     return run
 
@@ -383,23 +422,32 @@ def links(docs: DataFrame, k: int, num: int, den: int, found: DataFrame) -> tupl
 
     # expand groups to their members: those of one set are the group's id itself
     single = cells.join(wide.select("gid").distinct(), "gid", "left_anti").select("cell", F.col("gid").alias("doc_id"))
-    several = cells.join(wide, "gid").select("cell", F.col("rep").alias("doc_id"))
+    others = cells.join(wide, "gid").select("cell", F.col("rep").alias("doc_id"))
     wides = whole.groupBy("doc_id", "n").agg(F.first("wide").alias("wide"))
-    expanded = single.unionByName(several).join(wides, "doc_id").join(named.select(F.col("rep").alias("doc_id"), "copies"), "doc_id")
+    expanded = single.unionByName(others).join(wides, "doc_id").join(named.select(F.col("rep").alias("doc_id"), "copies"), "doc_id")
     expanded = materialize(expanded.select("cell", "doc_id", "n", "copies", "wide"), "expanded")
     dealt = in_blocks(expanded, ["cell"], "doc_id", blocks_of(expanded, ["cell"])).repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b", "n")
     members = materialize(dealt.mapInPandas(narrowed(num, den), "cell long, doc_id long, n int, copies long").distinct(), "members")
     # cells that share a member are one: every pair is then verified once
     whole_cells = star_components(members, "cell", "doc_id").select(F.col("id").alias("doc_id"), F.col("component").alias("cell"))
     members = members.select("doc_id", "n", "copies").distinct().join(whole_cells, "doc_id")
-    sizes = members.groupBy("cell").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("n_docs")).where("n_docs > 1")
-    own = members.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    paired = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "doc_id", "copies", "block", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"))
-    paired = materialize(paired, "paired")
-    few = broadcast_if_small(paired.select("doc_id").distinct(), BROADCAST_ROWS)  # beyond it the join below shuffles all texts
+    blocks = F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count("*") / F.lit(RUN))).cast("int")
+    sizes = members.groupBy("cell").agg(blocks.alias("blocks"), F.min("doc_id").alias("first"), F.count("*").alias("n_docs")).where("n_docs > 1")
+    placed = members.select("cell", "doc_id", "copies").distinct().join(sizes.drop("n_docs"), "cell").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    placed = materialize(placed, "placed")
+    few = broadcast_if_small(placed.select("doc_id").distinct(), BROADCAST_ROWS)  # beyond it the join below shuffles all texts
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id", "left_semi")
-    # rows of one id are one document: the set's row is the one whose id it bears
-    verified = materialize(texts.join(paired, "doc_id").groupBy("cell", "a", "b").applyInPandas(verify(k, num, den), "u long, v long, links long"), "verified")
+    read = texts.join(placed, "doc_id")
+    forest = "u long, v long, links long"
+    verified = read.where("blocks = 1").groupBy("cell").applyInPandas(verify(k, num, den), forest)
+    if not placed.where("blocks > 1").isEmpty():
+        several = materialize(read.where("blocks > 1").withColumn("pivot", F.lit(False)), "several")
+        pivots = several.where("doc_id = first").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("pivot", F.lit(True))
+        apart = several.unionByName(pivots).groupBy("cell", "block").applyInPandas(differences(k), "cell long, doc_id long, copies long, block int, n long, apart array<long>")
+        apart = apart.join(placed.where("blocks > 1").select("cell", "blocks").distinct(), "cell").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = apart.withColumns({"a": F.least("block", "o"), "b": F.greatest("block", "o")})
+        verified = verified.unionByName(pairs.groupBy("cell", "a", "b").applyInPandas(compare_blocks(num, den), forest))
+    verified = materialize(verified, "verified")
     edges = verified.where("u <> v").select("u", "v").unionByName(copies).unionByName(in_batch)
 
     own_links = named.where("copies > 1").select(F.col("rep").alias("id"), (F.col("copies") - 1).alias("n_links")).unionByName(verified.select(F.col("u").alias("id"), F.col("links").alias("n_links")))

@@ -325,7 +325,10 @@ def test_compared_sets():
         for blocks in ([0] * len(bag), [i % 2 for i in range(len(bag))]):
             weight = np.array([rnd.randrange(1, 4) for _ in bag])
             cross = len(set(blocks)) > 1
-            component, links = jaccard_join.compared([np.array(sorted(s), np.uint64) for s in bag], np.array(blocks), weight, 90, 100, cross)
+            sets, n = [np.array(sorted(s), np.uint64) for s in bag], np.array([len(s) for s in bag])
+            component, links = jaccard_join.compared(sets, n, np.array(blocks), weight, 90, 100, cross)
+            apart = jaccard_join.compared([np.setxor1d(s, sets[0]) for s in sets], n, np.array(blocks), weight, 90, 100, cross)
+            assert apart[0].tolist() == component.tolist() and apart[1].tolist() == links.tolist()
             linked = [[j for j in range(len(bag)) if i != j and not (cross and blocks[i] == blocks[j]) and 100 * len(bag[i] & bag[j]) >= 90 * len(bag[i] | bag[j])] for i in range(len(bag))]
             low = list(range(len(bag)))
             for _ in bag:
