@@ -158,11 +158,16 @@ class Layout:
         heavy = [] if r["low"] is None else [(r["low"], r["high"] + 1)]
         while heavy:  # cut what doesn't fit a shard, all at once
             cuts = max(2, RANGES // len(heavy))
-            edges = np.array([lo + (hi - lo) * j // cuts for lo, hi in heavy for j in range(cuts)], object)
-            starts, ends = edges.astype(np.int64), [hi for lo, hi in heavy for _ in range(cuts)]
+            edges = [min(lo + -(-(hi - lo) // cuts) * j, hi) for lo, hi in heavy for j in range(cuts)]
+            starts, ends = np.array([min(x, (1 << 63) - 1) for x in edges], np.int64), [hi for lo, hi in heavy for _ in range(cuts)]
             low, high = np.array([lo for lo, _ in heavy], np.int64), np.array([hi - 1 for _, hi in heavy], np.int64)
-            cell = F.pandas_udf(_cells(low, high, starts), "long")
-            sums = rows.where("page_id is not null").groupBy(cell("page_id").alias("c")).agg(F.sum(size).alias("n")).where("c >= 0").collect()
+            if len(heavy) == 1 and heavy[0][1] - heavy[0][0] < 1 << 62:  # no need for Python
+                lo, hi = heavy[0]
+                inside = (F.col("page_id") >= lo) & (F.col("page_id") < hi)
+                cell = F.when(inside, F.expr(f"(page_id - {lo}L) div {-(-(hi - lo) // cuts)}L")).otherwise(F.lit(-1))
+            else:
+                cell = F.pandas_udf(_cells(low, high, starts), "long")("page_id")
+            sums = rows.where("page_id is not null").groupBy(cell.alias("c")).agg(F.sum(size).alias("n")).where("c >= 0").collect()
             heavy = []
             for c, n in sorted((x["c"], x["n"]) for x in sums):
                 lo, hi = int(starts[c]), ends[c] if (c + 1) % cuts == 0 else int(starts[c + 1])
