@@ -132,3 +132,18 @@ def test_preferences(spark):
     span = out[2]["chosen_mask"][0]
     assert out[2]["chosen"][span["start"] : span["end"]] == "good < |end|>"
     assert out[4]["chosen"] == out[4]["rejected"] == "" and out[4]["n_prompt_turns"] == 1
+
+
+def test_pipeline_on_odd_rows_and_an_empty_table(spark, docs, none, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    bench(spark).write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
+    for rows, name in ((docs, "odd"), (none, "none")):
+        for stage, f in pipeline.STAGES:
+            rows = f(spark, rows, str(tmp_path))
+            rows.write.parquet(str(tmp_path / name / stage))
+            rows = spark.read.parquet(str(tmp_path / name / stage))
+            if stage == "quality classifier" and name == "odd":
+                assert set(rows.columns) == set(docs.columns) and set(ids(rows)) <= {1, 4, None}
+        assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        assert {r["doc_id"] for r in rows.collect()} <= ({4, None} if name == "odd" else set())
