@@ -8,9 +8,9 @@
 3. A task reads the postings of a shingle in order of size and filters pairs
    of groups by size and by a parity sketch, whose Hamming distance never
    exceeds the symmetric difference. Pairs aren't written: groups that have a
-   partner left join the cell of the first of them.
+   partner left join the cell of the first that such pairs reach.
 4. Cells are expanded to their members, which sketches as wide as their sets
-   filter again; cells that still share members unite. The texts of those that
+   filter again in the same way; cells that still share members unite. The texts of those that
    are left are verified with exact sets: every pair of a cell is compared, as
    differences from what most of the cell has in common, and a cell returns a
    forest of its links and the number of links of each member. Of cells of
@@ -44,12 +44,12 @@ from silkgraph.operators.components import star_components
 COUNTERS, CHUNK = 1 << 19, 1 << 13
 #: 64-bit words of a sketch.
 SKETCH = 4
-#: Rows of a shingle or a cell that are filtered, or verified, in one block, and shingles that are verified in one.
-RUN, BLOCK_SHINGLES = 512, 1_000_000
+#: Rows of a shingle or a cell that are filtered in one block, and shingles of a cell that are verified in one.
+RUN, BLOCK_SHINGLES = 512, 250_000
 #: Documents in cells whose ids may be broadcast, so that only their texts are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Words that a worker process remembers.
-CACHE = 1_000_000
+CACHE = 300_000
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -242,12 +242,13 @@ def whole_runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFra
 
 
 def partnered(key: np.ndarray, n: np.ndarray, k: np.ndarray, judge: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Rows (sorted by ``key, n``) with another of their key that sizes and sketches ``k`` allow to link.
+    """For rows (sorted by ``key, n``) that sizes and sketches ``k`` allow to link with another of their key: the first row that such links reach; for others -1.
 
     ``judge`` 0 marks a row whose sketch says nothing; pairs of two rows with
     2 are left out.
     """
-    out, rows, gap = np.zeros(len(key), bool), np.arange(max(0, len(key) - 1)), 1
+    rows, gap = np.arange(max(0, len(key) - 1)), 1
+    a, b = [rows[:0]], [rows[:0]]
     while len(rows):
         rows = rows[rows + gap < len(key)]
         near = (key[rows] == key[rows + gap]) & (den * n[rows] >= num * n[rows + gap])
@@ -258,9 +259,20 @@ def partnered(key: np.ndarray, n: np.ndarray, k: np.ndarray, judge: np.ndarray,
         fits = (num + den) * apart <= (den - num) * (n[rows] + n[other])
         both = judge[rows] * judge[other]
         fits = (fits | (both == 0)) & (both != 4)
-        out[rows[fits]] = True
-        out[other[fits]] = True
+        a.append(rows[fits])
+        b.append(other[fits])
         gap += 1
+    a, b, out = np.concatenate(a), np.concatenate(b), np.arange(len(key))
+    while len(a):
+        low = np.minimum(out[a], out[b])
+        if (low == out[a]).all() and (low == out[b]).all():
+            break
+        np.minimum.at(out, a, low)
+        np.minimum.at(out, b, low)
+        out = out[out]
+    alone = np.ones(len(key), bool)
+    alone[a] = alone[b] = False
+    out[alone] = -1
     return out
 
 
@@ -270,13 +282,10 @@ def cells_of(num: int, den: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_runs(batches, "token"):
             k = pdf[[f"k{i}" for i in range(SKETCH)]].to_numpy().view(np.uint64)
-            some = partnered(pdf["run"].to_numpy(), pdf["n"].to_numpy().astype(np.int64), k, pdf["exact"].to_numpy().astype(np.int64), num, den)
-            gid, token = pdf["gid"].to_numpy()[some], pdf["run"].to_numpy()[some]
-            if len(gid):
-                start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-                low = np.minimum.reduceat(gid, start)
-                cell = np.repeat(low, np.diff(np.concatenate([start, [len(gid)]])))
-                yield pd.DataFrame({"cell": cell, "gid": gid}).drop_duplicates()
+            first = partnered(pdf["run"].to_numpy(), pdf["n"].to_numpy().astype(np.int64), k, pdf["exact"].to_numpy().astype(np.int64), num, den)
+            some, gid = first >= 0, pdf["gid"].to_numpy()
+            if some.any():
+                yield pd.DataFrame({"cell": gid[first[some]], "gid": gid[some]}).drop_duplicates()
 
     return run
 
@@ -286,7 +295,7 @@ def narrowed(num: int, den: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_runs(batches, "cell"):
-            some = np.zeros(len(pdf), bool)
+            ids, parts = pdf["doc_id"].to_numpy(), []
             words = pdf["wide"].map(len).to_numpy() // 8
             for w in np.unique(words):
                 # partners' widths differ by a factor of two at most; parities of the wider fold onto the narrower
@@ -295,8 +304,10 @@ def narrowed(num: int, den: int):
                 for i, x in enumerate(pdf["wide"].iloc[at]):
                     k[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, w), axis=0)
                 own = np.where(words[at] == w, 1, 2)
-                some[at] |= partnered(pdf["run"].to_numpy()[at], pdf["n"].to_numpy().astype(np.int64)[at], k, own, num, den)
-            yield pdf.loc[some, ["cell", "doc_id", "n", "copies"]]
+                first = partnered(pdf["run"].to_numpy()[at], pdf["n"].to_numpy().astype(np.int64)[at], k, own, num, den)
+                some = first >= 0
+                parts.append(pdf[["doc_id", "n", "copies"]].iloc[at[some]].assign(cell=ids[at[first[some]]]))
+            yield pd.concat(parts)[["cell", "doc_id", "n", "copies"]].drop_duplicates()
 
     return run
 
@@ -431,7 +442,7 @@ def links(docs: DataFrame, k: int, num: int, den: int, found: DataFrame) -> tupl
     # cells that share a member are one: every pair is then verified once
     whole_cells = star_components(members, "cell", "doc_id").select(F.col("id").alias("doc_id"), F.col("component").alias("cell"))
     members = members.select("doc_id", "n", "copies").distinct().join(whole_cells, "doc_id")
-    blocks = F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count("*") / F.lit(RUN))).cast("int")
+    blocks = F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int")
     sizes = members.groupBy("cell").agg(blocks.alias("blocks"), F.min("doc_id").alias("first"), F.count("*").alias("n_docs")).where("n_docs > 1")
     placed = members.select("cell", "doc_id", "copies").distinct().join(sizes.drop("n_docs"), "cell").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     placed = materialize(placed, "placed")
