@@ -174,3 +174,17 @@ def test_generators_are_registered_at_full_size(spark):
         assert 0.98 * edges <= n <= 1.02 * edges and top >= 0.99 * vertices - 1
     rows = QUERIES["gen_features"](spark, "")
     assert rows.count() == 80_000 and len(rows.first()["x"]) == 1000
+
+
+@pytest.mark.parametrize("edges", [CASE_B, CASE_C, CHAINS, random_edges(5, 8, 20, 4), random_edges(7, 60, 70, 5), [(i, i + 1, 2) for i in range(20)] + [(0, i, 40) for i in range(100, 140)], []])
+def test_path_counts_both_ways(spark, edges):
+    e = frame(spark, [x for x in edges if x[2] > 0])
+    rows = lambda **kw: sorted(map(tuple, shortest.path_counts(e, **kw).collect()))
+    assert rows() == rows(kernel_edges=0)
+    some = spark.createDataFrame([(0,), (0,), (4,), (999,), (None,)], "id long")
+    assert rows(sources=some) == rows(sources=some, kernel_edges=0)
+
+
+def test_path_counts_of_a_small_graph_write_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(shortest, "all_distances", None)
+    assert shortest.path_counts(frame(spark, CASE_C)).count() == 9
