@@ -1,8 +1,9 @@
 import pytest
 
 from silkgraph.operators import classify, components, cycles, generate, graph, shortest
+from silkgraph.plans.queries import QUERIES
 from silkgraph.sources import sinks, transfers
-from tests.helpers import brute_betweenness, brute_cycles, random_edges
+from tests.helpers import SMALL, brute_betweenness, brute_cycles, random_edges
 
 CASE_A = [(1, 2, 100), (2, 3, 300), (3, 1, 100), (3, 4, 100), (4, 1, 20), (4, 5, 61), (5, 1, 20), (2, 1, 50), (5, 6, 0), (6, 1, 10), (7, 1, 5), (4, 4, 9)]
 CASE_B = [(10, 20, 1), (10, 30, 1), (20, 40, 1), (30, 40, 1), (40, 50, 2), (5, 10, 7), (20, 50, 3), (50, 60, 1), (50, 70, 0)]
@@ -188,3 +189,9 @@ def test_path_counts_both_ways(spark, edges):
 def test_path_counts_of_a_small_graph_write_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(shortest, "all_distances", None)
     assert shortest.path_counts(frame(spark, CASE_C)).count() == 9
+
+
+def test_all_sources_write_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(shortest, "all_distances", None)
+    counts = QUERIES["sp_counts_all"](spark, SMALL).where("s = v")
+    assert counts.where("dist = 0 and sigma = 1").count() == graph.vertex_set(transfers.transfers_multi(spark, SMALL).where("u <> v")).count()
