@@ -195,3 +195,11 @@ def test_all_sources_write_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(shortest, "all_distances", None)
     counts = QUERIES["sp_counts_all"](spark, SMALL).where("s = v")
     assert counts.where("dist = 0 and sigma = 1").count() == graph.vertex_set(transfers.transfers_multi(spark, SMALL).where("u <> v")).count()
+
+
+@pytest.mark.parametrize("edges", [CASE_A, CASE_B, CHAINS, random_edges(7, 60, 70), [(i, i + 1, 2) for i in range(20)] + [(0, i, 40) for i in range(100, 140)], []])
+def test_reachable_counts_write_no_pairs(spark, edges, monkeypatch):
+    some = spark.createDataFrame([(0,), (0,), (4,), (999,), (None,)], "id long")
+    want = [sorted(((r["id"], r["n_reached"]) for r in shortest.reachable_counts(frame(spark, edges), x, kernel_edges=0).collect()), key=str) for x in (None, some)]
+    monkeypatch.setattr(shortest, "all_distances", None)
+    assert [sorted(((r["id"], r["n_reached"]) for r in shortest.reachable_counts(frame(spark, edges), x).collect()), key=str) for x in (None, some)] == want
