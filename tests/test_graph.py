@@ -203,3 +203,13 @@ def test_reachable_counts_write_no_pairs(spark, edges, monkeypatch):
     want = [sorted(((r["id"], r["n_reached"]) for r in shortest.reachable_counts(frame(spark, edges), x, kernel_edges=0).collect()), key=str) for x in (None, some)]
     monkeypatch.setattr(shortest, "all_distances", None)
     assert [sorted(((r["id"], r["n_reached"]) for r in shortest.reachable_counts(frame(spark, edges), x).collect()), key=str) for x in (None, some)] == want
+
+
+def test_betweenness_runs_only_where_edges_go_out(spark, monkeypatch):
+    """A sink has no run unless sources fold into it, and each run takes the sinks in one step."""
+    edges = [(0, 1, 2), (1, 0, 2), *((0, i, 3) for i in range(10, 30)), *((1, i, 1) for i in range(20, 40)), (5, 50, 1), (6, 5, 1)]
+    e = frame(spark, edges)
+    made = []
+    monkeypatch.setattr(shortest, "_spread", lambda df: made.append(df.count()) or df)
+    assert {r["id"]: round(r["bc"], 6) for r in shortest.betweenness(e).collect()} == brute_betweenness(edges)
+    assert made == [3]
