@@ -60,12 +60,12 @@ def unused(df: DataFrame, name: str) -> str:
 BLOCK_BYTES = 8 << 20
 
 
-def text_blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with at most ``BLOCK_BYTES`` in all, or one text."""
+def text_blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with at most ``most`` bytes in all, or one text."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(size):
-        end = max(at + 1, int(np.searchsorted(size, BLOCK_BYTES + (size[at - 1] if at else 0), side="right")))
+        end = max(at + 1, int(np.searchsorted(size, most + (size[at - 1] if at else 0), side="right")))
         yield at, end
         at = end
 

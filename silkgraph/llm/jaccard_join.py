@@ -49,7 +49,9 @@ RUN, BLOCK_SHINGLES = 512, 250_000
 #: Documents in cells whose ids may be broadcast, so that only their texts are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Words that a worker process remembers.
-CACHE = 300_000
+CACHE = 100_000
+#: Bytes of text that are split and hashed together, that sets are held of, and pairs of rows that are filtered together (one text, one run at least).
+SPLIT_BYTES, SET_BYTES, PAIRS = 2 << 20, 8 << 20, 1 << 20
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -93,7 +95,7 @@ class Shingler:
 
     def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The set of each text; words are split and hashed for a block of texts at a time."""
-        for a, b in text_blocks(texts):
+        for a, b in text_blocks(texts, SPLIT_BYTES):
             words, codes, begin = word_codes(pc.ascii_lower(texts[a:b]))
             v = self.hashes(words.to_numpy(zero_copy_only=False).tolist())[codes]
             h = self.shingles(v, self.k)
@@ -113,7 +115,7 @@ def shingle_levels(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             for s in shingler.of(batch["text"]):
                 held.append(s)
                 size += len(s)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     total += np.bincount((np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
                     held, size = [], 0
         if held:
@@ -163,7 +165,7 @@ def sets(docs: DataFrame, k: int, num: int, den: int, levels: tuple[np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, (levels, often) = Shingler(k), shared.value
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in text_blocks(whole["text"], SET_BYTES)):
             ids = batch["doc_id"].to_pylist()
             rows: list[list] = []
             same: dict[tuple, list[int]] = {}
@@ -245,9 +247,22 @@ def partnered(key: np.ndarray, n: np.ndarray, k: np.ndarray, judge: np.ndarray,
     """For rows (sorted by ``key, n``) that sizes and sketches ``k`` allow to link with another of their key: the first row that such links reach; for others -1.
 
     ``judge`` 0 marks a row whose sketch says nothing; pairs of two rows with
-    2 are left out.
+    2 are left out. Keys are taken together up to ``PAIRS`` pairs.
     """
-    rows, gap = np.arange(max(0, len(key) - 1)), 1
+    out = np.full(len(key), -1)
+    if not len(key):
+        return out
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    pairs = np.cumsum(np.diff(np.append(begin, len(key))) ** 2)
+    cuts = begin[1:][pairs[1:] // PAIRS != pairs[:-1] // PAIRS].tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
+        first = _partnered(key[a:b], n[a:b], k[a:b], judge[a:b], num, den)
+        out[a:b] = np.where(first >= 0, first + a, -1)
+    return out
+
+
+def _partnered(key: np.ndarray, n: np.ndarray, k: np.ndarray, judge: np.ndarray, num: int, den: int) -> np.ndarray:
+    rows, gap = np.arange(max(0, len(key) - 1), dtype=np.int32), 1
     a, b = [rows[:0]], [rows[:0]]
     while len(rows):
         rows = rows[rows + gap < len(key)]

@@ -473,3 +473,16 @@ def test_classifier_on_labels(spark):
     assert right >= 0.93 * len(labels)
     clean = [i for i, q, t in labels if q == 1 and t == 0]
     assert sum(got[i]["kept"] for i in clean) >= 0.97 * len(clean)
+
+
+def test_runs_of_near_copies_are_filtered_a_few_at_a_time():
+    """Ten full runs in one frame: the pairs of all of them would take over 100 MB."""
+    import tracemalloc
+
+    key = np.repeat(np.arange(10), 2 * jaccard_join.RUN)
+    tracemalloc.start()
+    first = jaccard_join.partnered(key, np.full(len(key), 100), np.zeros((len(key), jaccard_join.SKETCH), np.uint64), np.ones(len(key), np.int64), 90, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (first == key * 2 * jaccard_join.RUN).all()
+    assert peak < 60e6
