@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silkgraph.functions.scalar import ratio_ok
+from silkgraph.operators.cycle_kernel import cycles_kernel
 from silkgraph.operators.graph import topo_prune
 from silkgraph.sources.shared import materialize
 from silkgraph.sources.transfers import clean_edges
 
 LENGTHS = range(3, 8)
+#: Edges that may be broadcast to the kernel.
+KERNEL_EDGES = 10_000_000
 
 
 def _forward(edges: DataFrame, k: int, ratio: bool) -> DataFrame:
@@ -67,17 +70,22 @@ def prepared(edges: DataFrame, ratio: bool) -> DataFrame:
     return topo_prune(clean_edges(edges, positive=ratio))
 
 
-def cycles(edges: DataFrame, lengths=LENGTHS, ratio: bool = False, pruned: bool = False) -> DataFrame:
+def cycles(edges: DataFrame, lengths=LENGTHS, ratio: bool = False, pruned: bool = False, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """``len, path``: every simple cycle of the lengths, once, its smallest vertex first.
 
     With ``ratio`` each transfer's amount must be able to follow the one
     before, around the end as well. ``pruned`` says ``edges`` come from
-    :func:`prepared`. Halves that several lengths use are written once.
+    :func:`prepared`. With at most ``kernel_edges`` edges the kernel finds
+    them; beyond that joins do, and halves that several lengths use are
+    written once.
     """
-    e = edges if pruned else prepared(edges, ratio)
     lengths = sorted(set(lengths))
     if not lengths or lengths[0] < 3 or lengths[-1] > 7:
         raise ValueError("cycles have 3 to 7 edges")
+    e = edges if pruned else materialize(clean_edges(edges, positive=ratio), "cycle-edges")
+    if e.count() <= kernel_edges:
+        return cycles_kernel(e, lengths, ratio)
+    e = e if pruned else topo_prune(e)
     shared = len(lengths) > 1
     keep = lambda df, tag: materialize(df, tag) if shared else df
     fore: dict[int, DataFrame] = {}

@@ -213,3 +213,32 @@ def test_betweenness_runs_only_where_edges_go_out(spark, monkeypatch):
     monkeypatch.setattr(shortest, "_spread", lambda df: made.append(df.count()) or df)
     assert {r["id"]: round(r["bc"], 6) for r in shortest.betweenness(e).collect()} == brute_betweenness(edges)
     assert made == [3]
+
+
+@pytest.mark.parametrize("seed", range(4, 7))
+@pytest.mark.parametrize("ratio", [False, True])
+def test_cycles_by_joins_and_without(spark, seed, ratio, monkeypatch):
+    edges = [*random_edges(seed), (-5, 3, 4), (3, -5, 4), (1 << 40, 3, 9), (3, 2, 1 << 33), (2, 1 << 40, 9)]
+    want = brute_cycles(edges, ratio)
+    assert paths(cycles.cycles(frame(spark, edges), ratio=ratio, kernel_edges=0)) == want
+    monkeypatch.setattr(cycles, "_forward", None)  # no half is shuffled or written
+    assert paths(cycles.cycles(frame(spark, edges), ratio=ratio)) == want
+
+
+@pytest.mark.parametrize("edges", [random_edges(7, 12, 60), [(0, i, 10) for i in range(1, 60)] + [(i, 60 + i % 3, 10) for i in range(1, 60)] + [(60, 0, 10), (61, 0, 1), (5, 6, 9), (6, 0, 8), (7, 70, 5), (71, 7, 5)]])
+def test_cycle_kernel_in_small_pieces(edges, monkeypatch):
+    import numpy as np
+
+    from silkgraph.operators import cycle_kernel as kernel
+
+    best = {}
+    for u, v, w in edges:
+        if u != v and w > 0:
+            best[u, v] = max(w, best.get((u, v), 0))
+    g = kernel.Graph(*(np.array(x) for x in zip(*((u, v, w) for (u, v), w in best.items()), strict=True)))
+    for piece, held in ((1 << 20, 1 << 21), (3, 2), (1, 1)):
+        monkeypatch.setattr(kernel, "PIECE", piece)
+        monkeypatch.setattr(kernel, "HELD", held)
+        found = [tuple(g.ids[list(c)].tolist()) for n in range(3, 8) for cols in kernel.rooted(g, np.arange(g.n, dtype=np.int32), n, True) for c in zip(*cols, strict=True)]
+        assert len(found) == len(set(found)) and set(found) == brute_cycles(edges, True)
+    assert set(g.ids.tolist()) <= {u for u, _ in best} & {v for _, v in best}
