@@ -244,7 +244,9 @@ def test_cycle_kernel_in_small_pieces(edges, monkeypatch):
     assert set(g.ids.tolist()) <= {u for u, _ in best} & {v for _, v in best}
 
 
-def test_centrality_takes_rows_of_all_quantities(spark, tmp_path):
+def test_centrality_and_path_counts_take_rows_of_all_quantities(spark, tmp_path):
     rows = [(1, 2, 8.0, 5.5), (2, 3, 9.0, 4.0), (3, 4, 50.0, 3.9), (4, 4, 1.0, 7.0), (4, 5, 30.0, 0.5)]
     spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
     assert [tuple(r) for r in QUERIES["betweenness_top100"](spark, str(tmp_path)).collect()] == [(2, 2.0), (3, 2.0), (1, 0.0), (4, 0.0)]
+    counts = {(r["s"], r["v"]): (r["dist"], r["sigma"]) for r in QUERIES["sp_counts"](spark, str(tmp_path)).collect()}
+    assert counts == {(1, 1): (0, 1.0), (1, 2): (5, 1.0), (1, 3): (9, 1.0), (1, 4): (12, 1.0), (2, 2): (0, 1.0), (2, 3): (4, 1.0), (2, 4): (7, 1.0), (3, 3): (0, 1.0), (3, 4): (3, 1.0)}
