@@ -250,3 +250,49 @@ def test_centrality_and_path_counts_take_rows_of_all_quantities(spark, tmp_path)
     assert [tuple(r) for r in QUERIES["betweenness_top100"](spark, str(tmp_path)).collect()] == [(2, 2.0), (3, 2.0), (1, 0.0), (4, 0.0)]
     counts = {(r["s"], r["v"]): (r["dist"], r["sigma"]) for r in QUERIES["sp_counts"](spark, str(tmp_path)).collect()}
     assert counts == {(1, 1): (0, 1.0), (1, 2): (5, 1.0), (1, 3): (9, 1.0), (1, 4): (12, 1.0), (2, 2): (0, 1.0), (2, 3): (4, 1.0), (2, 4): (7, 1.0), (3, 3): (0, 1.0), (3, 4): (3, 1.0)}
+
+
+def test_edges_to_sinks_do_not_count_as_edges_of_the_kernel(spark, monkeypatch):
+    monkeypatch.setattr(shortest, "betweenness_joins", None)
+    edges = [(0, 1, 2), (1, 2, 2), (2, 3, 1), *((i % 3, 100 + i, 1 + i % 4) for i in range(20))]
+    assert {r["id"]: round(r["bc"], 6) for r in shortest.betweenness(frame(spark, edges), kernel_edges=3).collect()} == brute_betweenness(edges)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_path_kernel_with_and_without_levels_and_layers(seed):
+    import random
+
+    import numpy as np
+
+    from silkgraph.operators import path_kernel as kernel
+
+    rnd = random.Random(seed)
+    edges = [(rnd.randrange(12), rnd.randrange(40), rnd.randrange(1, 9)) for _ in range(300)] + [(i, i + 8, 3) for i in range(12, 30)]
+    if seed % 2:
+        edges = [(u, v, w) for u, v, w in edges if u < v]  # no core
+    parts = kernel.least_edges(*(np.array(c) for c in zip(*edges, strict=True)))
+    ids, least = np.unique(parts[0]), {}
+    for u, v, w in edges:
+        least[u, v] = min(w, least.get((u, v), w))
+    assert {(u, v): w for u, v, w in zip(*(c.tolist() for c in parts[:3]), strict=True)} == least
+    inner = np.isin(parts[1], ids)
+    u = np.searchsorted(ids, parts[0])
+    heads = kernel.Heads(ids, u[inner], np.searchsorted(ids, parts[1][inner]), parts[2][inner], parts[3][inner])
+    chunk = kernel.Chunk(u[~inner], parts[1][~inner], parts[2][~inner], parts[3][~inner])
+    for s in range(len(ids)):
+        want = {int(ids[s]): 0}
+        for _ in range(50):
+            for (a, b), w in least.items():
+                if a in want:
+                    want[b] = min(want.get(b, 1 << 30), want[a] + w)
+        count = {int(ids[s]): 1}
+        for v in sorted((x for x in want if x != ids[s]), key=want.get):
+            count[v] = sum(count[a] for a, b, w in edges if b == v and a in want and want[a] + w == want[v])
+        run = heads.run(s)
+        for few in (True, False):
+            chunk.few = lambda _, few=few: few
+            mine, its = kernel.common(run.reached, chunk.heads)
+            found, dist, paths, _ = chunk.relax(its, run.dist[mine], run.sigma[mine])
+            all_ = [*zip(ids[run.reached].tolist(), run.dist.tolist(), run.sigma.tolist(), strict=True), *zip(chunk.targets[found].tolist(), dist.tolist(), paths.tolist(), strict=True)]
+            assert sorted(all_) == sorted((v, d, count[v]) for v, d in want.items())
+            assert chunk.targets[np.sort(chunk.reached(its))].tolist() == chunk.targets[found].tolist()
