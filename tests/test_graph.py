@@ -296,3 +296,11 @@ def test_path_kernel_with_and_without_levels_and_layers(seed):
             all_ = [*zip(ids[run.reached].tolist(), run.dist.tolist(), run.sigma.tolist(), strict=True), *zip(chunk.targets[found].tolist(), dist.tolist(), paths.tolist(), strict=True)]
             assert sorted(all_) == sorted((v, d, count[v]) for v, d in want.items())
             assert chunk.targets[np.sort(chunk.reached(its))].tolist() == chunk.targets[found].tolist()
+
+
+def test_reachable_counts_of_many_sinks_write_no_pairs(spark, monkeypatch):
+    edges = [(0, 1, 2), (1, 0, 2), (2, 1, 1), *((i % 3, 100 + i, 1) for i in range(20))]
+    want = {r["id"]: r["n_reached"] for r in shortest.reachable_counts(frame(spark, edges), kernel_edges=0).collect()}
+    monkeypatch.setattr(shortest, "all_distances", None)
+    assert {r["id"]: r["n_reached"] for r in shortest.reachable_counts(frame(spark, edges), kernel_edges=3).collect()} == want
+    assert want[0] == want[1] == 15 and want[2] == 22 and want[100] == 0
