@@ -304,3 +304,19 @@ def test_reachable_counts_of_many_sinks_write_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(shortest, "all_distances", None)
     assert {r["id"]: r["n_reached"] for r in shortest.reachable_counts(frame(spark, edges), kernel_edges=3).collect()} == want
     assert want[0] == want[1] == 15 and want[2] == 22 and want[100] == 0
+
+
+def test_path_counts_of_many_sinks_write_no_pairs(spark, monkeypatch):
+    edges = [(0, 1, 2), (1, 0, 2), (2, 1, 1), *((i % 3, 100 + i % 15, 1 + i % 4) for i in range(40))]
+    rows = lambda **kw: [tuple(r) for r in shortest.path_counts(frame(spark, edges), **kw).collect()]
+    want = sorted(rows(kernel_edges=0))
+    monkeypatch.setattr(shortest, "_path_counts_joins", None)
+    assert sorted(rows(kernel_edges=5)) == want
+
+
+def test_rows_to_the_same_vertex_are_side_by_side():
+    import numpy as np
+
+    part = lambda s: [np.full(3, s), np.arange(3), np.full(3, 10 * s), np.ones(3)]
+    s, v, dist, _ = shortest._together([part(1), part(2)], np.array([7, 5, 6]))
+    assert v.tolist() == [7, 7, 5, 5, 6, 6] and s.tolist() == [1, 2] * 3 and dist.tolist() == [10, 20] * 3
